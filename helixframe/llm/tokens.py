@@ -9,17 +9,19 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Callable
 
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Bounds of the caches of one Python worker, in entries.
-MAX_WORDS, MAX_PIECES = 300_000, 400_000
+#: Bounds of the two halves of each cache of a Python worker, in entries.
+MAX_WORDS, MAX_PIECES = 350_000, 350_000
 
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPACE_SPACE = re.compile(r"\s ")
+_OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]").search
 _MADE: dict[tuple[str, str], Encoder] = {}
 
 
@@ -41,10 +43,16 @@ class _Cache(dict):
         super().__init__()
         self.make, self.most = make, most
 
+        self.old: dict[str, bytes] = {}
+
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.most:
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(self) >= self.most:  # what is used again moves to the new half
+            self.old = dict(self)
             self.clear()
-        self[key] = out = self.make(key)
+        self[key] = out
         return out
 
 
@@ -70,19 +78,27 @@ class Encoder:
         self.words = _Cache(self._word, MAX_WORDS)
 
     def _pack(self, ids: list[int]) -> bytes:
-        return b"".join([i.to_bytes(self.width, "little") for i in ids])
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
     def _piece(self, piece: str) -> bytes:
-        return self._pack([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.chars))])
+        if piece.isascii() and piece.isprintable():
+            mapped = piece.replace(" ", self.chars[32])
+        else:
+            mapped = piece.encode().decode("latin-1").translate(self.chars)
+        return self._pack([t.id for t in self.model.tokenize(mapped)])
 
     def whole(self, text: str) -> bytes:
         return self._pack(self.tok.encode(text, add_special_tokens=False).ids)
 
     def _word(self, word: str) -> bytes:
-        if len(word) > 2000 or not word.isprintable() and not word.isascii() or max(word, default="") > "\xff" or any("\x1c" <= c <= "\x1f" or c in "\x85\xad" for c in word):
+        if _OTHER(word) or len(word) > 2000:
             return self.whole(word)
         if self.kind == "word":
-            word = "".join([c.lower() for c in word]) if not word.isascii() else word.lower()
+            word = word.lower() if word.isascii() else "".join([c.lower() for c in word])
+            if word.isalpha():
+                return self.pieces[word]
+        elif word[1:].isalpha() and word[0] == " ":
+            return self.pieces[word]
         return b"".join([self.pieces[x] for x in self.find(word)])
 
     def encode(self, text: str) -> bytes:
