@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -58,3 +59,9 @@ def texts_of(batch: pa.RecordBatch, column: str) -> Iterator[str]:
     """The texts of a batch, one at a time; null is the empty text."""
     for x in batch.column(batch.schema.get_field_index(column)):
         yield x.as_py() or ""
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now, not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
