@@ -76,6 +76,7 @@ class Encoder:
             self.find = regex.compile(_WORD_PATTERN).findall
         self.pieces = _Cache(self._piece, MAX_PIECES)
         self.words = _Cache(self._word, MAX_WORDS)
+        self.spaced = _Cache(lambda w: self._word(" " + w), MAX_WORDS)
 
     def _pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
@@ -108,8 +109,8 @@ class Encoder:
             if _SPACE_SPACE.search(text):
                 return self.whole(text) if len(text) < 4000 else self._runs(text)
             first, *rest = text.split(" ")
-            return b"".join([self.words[first], *[self.words[" " + w] for w in rest]])
-        return b"".join([self.words[w] for w in text.split(" ")])
+            return self._word(first) + b"".join(map(self.spaced.__getitem__, rest))
+        return b"".join(map(self.words.__getitem__, text.split(" ")))
 
     def _runs(self, text: str) -> bytes:
         """Cut only between a character that is no space of any kind and a single space."""
