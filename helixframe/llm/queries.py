@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_tree, packing, repeats, simhash, token_store, toxicity
+from . import bpe_tree, packing, repeats, simhash, token_store, topk, toxicity
 from .common import scratch
 
 
@@ -37,10 +37,14 @@ def op10_interval_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed(table(spark, sf_dir, "documents"))
 
 
+def op7_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_ngram_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_content_store, op3_bit_sliced_simhash, op4_min_bin_slack, op6_bpe_tree, op9_ngram_bayes, op10_interval_repeats)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_content_store, op3_bit_sliced_simhash, op4_min_bin_slack, op6_bpe_tree, op7_norm_buckets, op9_ngram_bayes, op10_interval_repeats)}
+ORACLE_SQL: dict[str, str] = {"op7_norm_buckets": topk.ORACLE}
