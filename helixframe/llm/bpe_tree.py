@@ -14,15 +14,19 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from .common import narrow, texts_of
+from .tokens import Cache
 
-#: Bytes up to which a string is merged directly; entries of the caches of a worker.
-LEAF, MAX_PAIRS, MAX_PIECES, MAX_WORDS = 24, 200_000, 300_000, 250_000
+#: Bytes up to which a string is merged directly; entries of the caches of a worker, of the last two in each of two halves.
+LEAF, MAX_PAIRS, MAX_PIECES, MAX_WORDS = 24, 200_000, 300_000, 300_000
+
+_SPACES = regex.compile(r"[\s\x1c-\x1f] ").search
 
 
 class Codec:
@@ -31,8 +35,9 @@ class Codec:
         # White space by Unicode's property: other engines count the separators U+001C to U+001F too.
         self.find = regex.compile(pattern).findall
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, list[int]] = {}
-        self.words: dict[str, tuple[list[int], str]] = {}
+        self.pieces = Cache(self._piece, MAX_PIECES)
+        self.words = Cache(self._word, MAX_WORDS)
+        self.spaced = Cache(lambda w: self._word(" " + w), MAX_WORDS)
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> Codec:
@@ -120,43 +125,33 @@ class Codec:
             i = after[i]
         return out
 
-    def piece(self, text: str) -> list[int]:
+    def _piece(self, text: str) -> list[int]:
         """Ids of one match of the pattern. A match that is itself in the vocabulary is one id."""
-        got = self.pieces.get(text)
-        if got is None:
-            data = text.encode()
-            one = self.ranks.get(data)
-            got = [one] if one is not None else self.tree(data)
-            if len(text) < 100:
-                if len(self.pieces) >= MAX_PIECES:
-                    self.pieces.clear()
-                self.pieces[text] = got
-        return got
+        data = text.encode()
+        one = self.ranks.get(data)
+        return [one] if one is not None else self.tree(data)
 
     def _word(self, text: str) -> tuple[list[int], str]:
-        got = self.words.get(text)
-        if got is None:
-            ids = [i for p in self.find(text) for i in self.piece(p)]
-            got = ids, " ".join(map(str, ids))
-            if len(text) < 100:
-                if len(self.words) >= MAX_WORDS:
-                    self.words.clear()
-                self.words[text] = got
-        return got
-
-    def _cut(self, text: str) -> list[str]:
-        """Parts that begin with a space after a character that is no space: no match of the pattern crosses such a place."""
-        if regex.search(r"[\s\x1c-\x1f] ", text):
-            return regex.split(r"(?<=[^\s\x1c-\x1f])(?= )", text, flags=regex.V1)
-        first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]]
+        if text[:1] == " " and text[1:].isascii() and text[1:].isalpha():
+            ids = self._piece(text)
+        else:
+            ids = [i for p in self.find(text) for i in (self.pieces[p] if len(p) < 100 else self._piece(p))]
+        return ids, " ".join(map(str, ids))
 
     def encode(self, text: str) -> tuple[list[int], str]:
-        """The ids of a text, and the same in decimal."""
+        """The ids of a text, and the same in decimal.
+
+        It is cut at spaces that follow a character that is no space: no match of the pattern crosses such a place.
+        """
         if not text:
             return [], ""
-        got = [self._word(w) for w in self._cut(text)]
-        return [i for ids, _ in got for i in ids], " ".join([s for _, s in got if s])
+        if _SPACES(text):
+            got = [self.words[w] if len(w) < 100 else self._word(w) for w in regex.split(r"(?<=[^\s\x1c-\x1f])(?= )", text, flags=regex.V1)]
+        else:
+            first, *rest = text.split(" ")
+            got = [self._word(first), *(map(self.spaced.__getitem__, rest) if max(map(len, rest), default=0) < 200 else [self.spaced[w] if len(w) < 200 else self._word(" " + w) for w in rest])]
+        parts, decimals = zip(*got, strict=True)
+        return list(chain.from_iterable(parts)), " ".join(filter(None, decimals))
 
     def decode(self, ids: list[int]) -> bytes:
         if not ids:

@@ -38,18 +38,20 @@ def byte_chars() -> dict[int, str]:
     return out
 
 
-class _Cache(dict):
-    def __init__(self, make: Callable[[str], bytes], most: int):
+class Cache(dict):
+    """A bounded memo: at its bound, the entries become the old half, and those used again come back."""
+
+    def __init__(self, make: Callable, most: int):
         super().__init__()
         self.make, self.most = make, most
 
-        self.old: dict[str, bytes] = {}
+        self.old: dict = {}
 
-    def __missing__(self, key: str) -> bytes:
+    def __missing__(self, key):
         out = self.old.get(key)
         if out is None:
             out = self.make(key)
-        if len(self) >= self.most:  # what is used again moves to the new half
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[key] = out
@@ -74,9 +76,9 @@ class Encoder:
             self.find = regex.compile(PATTERN).findall
         else:
             self.find = regex.compile(_WORD_PATTERN).findall
-        self.pieces = _Cache(self._piece, MAX_PIECES)
-        self.words = _Cache(self._word, MAX_WORDS)
-        self.spaced = _Cache(lambda w: self._word(" " + w), MAX_WORDS)
+        self.pieces = Cache(self._piece, MAX_PIECES)
+        self.words = Cache(self._word, MAX_WORDS)
+        self.spaced = Cache(lambda w: self._word(" " + w), MAX_WORDS)
 
     def _pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
