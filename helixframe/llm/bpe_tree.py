@@ -135,7 +135,7 @@ class Codec:
         if text[:1] == " " and text[1:].isascii() and text[1:].isalpha():
             ids = self._piece(text)
         else:
-            ids = [i for p in self.find(text) for i in (self.pieces[p] if len(p) < 100 else self._piece(p))]
+            ids = [i for p in self.find(text) for i in self.pieces[p]]
         return ids, " ".join(map(str, ids))
 
     def encode(self, text: str) -> tuple[list[int], str]:
@@ -146,10 +146,10 @@ class Codec:
         if not text:
             return [], ""
         if _SPACES(text):
-            got = [self.words[w] if len(w) < 100 else self._word(w) for w in regex.split(r"(?<=[^\s\x1c-\x1f])(?= )", text, flags=regex.V1)]
+            got = [self.words[w] for w in regex.split(r"(?<=[^\s\x1c-\x1f])(?= )", text, flags=regex.V1)]
         else:
             first, *rest = text.split(" ")
-            got = [self._word(first), *(map(self.spaced.__getitem__, rest) if max(map(len, rest), default=0) < 200 else [self.spaced[w] if len(w) < 200 else self._word(" " + w) for w in rest])]
+            got = [self._word(first), *map(self.spaced.__getitem__, rest)]
         parts, decimals = zip(*got, strict=True)
         return list(chain.from_iterable(parts)), " ".join(filter(None, decimals))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_tree, packing, repeats, simhash, token_store, topk, toxicity
+from . import bpe_tree, html_text, licences, packing, repeats, simhash, token_store, topk, toxicity
 from .common import scratch
 
 
@@ -29,6 +29,14 @@ def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
 
+def op2_minimum_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_licence_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,5 +54,5 @@ def op9_ngram_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_content_store, op3_bit_sliced_simhash, op4_min_bin_slack, op6_bpe_tree, op7_norm_buckets, op9_ngram_bayes, op10_interval_repeats)}
-ORACLE_SQL: dict[str, str] = {"op7_norm_buckets": topk.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_content_store, op2_minimum_cut, op3_bit_sliced_simhash, op4_min_bin_slack, op5_licence_dice, op6_bpe_tree, op7_norm_buckets, op9_ngram_bayes, op10_interval_repeats)}
+ORACLE_SQL: dict[str, str] = {"op5_licence_dice": licences.ORACLE, "op7_norm_buckets": topk.ORACLE}

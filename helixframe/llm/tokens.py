@@ -18,6 +18,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bounds of the two halves of each cache of a Python worker, in entries.
 MAX_WORDS, MAX_PIECES = 350_000, 350_000
+#: Longer keys are not kept.
+MAX_KEY = 200
 
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPACE_SPACE = re.compile(r"\s ")
@@ -51,6 +53,8 @@ class Cache(dict):
         out = self.old.get(key)
         if out is None:
             out = self.make(key)
+        if len(key) > MAX_KEY:
+            return out
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
