@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import atoms as at
-from ..operators import chains, failures, kmers, points, releases, selection
+from ..operators import chains, failures, kernels, kmers, points, releases, selection
 from . import adapters as ad
 from .adapters import LINES_SQL, ORDERS_SQL, POINTS_SQL, QUERIES_SQL, TARGETS_SQL, kmers_sql, table
 
@@ -443,3 +443,39 @@ def msa_column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tm_distance_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select("vec_id", F.round(g.tm_d0(10 + F.col("vec_id") % 300), 6).alias("d0"))
+
+
+# Kernels: iterative numerics without an SQL form, held against plain formulas in the tests
+
+
+@query()
+def kabsch_tm_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = vector_pairs(spark, sf_dir)
+    return kernels.superpose(a, b).select("pair_id", F.round("rmsd", 6).alias("rmsd"), F.round("tm", 6).alias("tm"), "n_points")
+
+
+@query()
+def sasa_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = ad.vector_points(spark, sf_dir)
+    atoms = p.select(F.col("structure_id").cast("string").alias("structure_id"), F.col("ord").cast("bigint").alias("atom_ord"), F.lit("CA").alias("atom_name"), F.lit("ALA").alias("residue_name"), F.lit("C").alias("element"), "x", "y", "z")
+    return kernels.sasa(atoms, n=240).withColumn("sasa", F.round("sasa", 6))
+
+
+@query()
+def dssp_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _residues(spark, sf_dir)
+    ca = [((F.col(f"n{c}") + F.col(f"c{c}")) / 2).alias(f"ca{c}") for c in "xyz"]
+    return kernels.secondary_structure(r.select(F.col("structure_id").cast("string").alias("structure_id"), "chain_id", "ord", *[f"{a}{c}" for a in "nhco" for c in "xyz"], *ca))
+
+
+@query()
+def smith_waterman_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best targets of each query by diagonal votes, aligned with gaps around their best diagonal."""
+    q, t = ad.query_sequences(spark, sf_dir), ad.sequences(spark, sf_dir)
+    best = kmers.ranked(kmers.best_diagonals(q, t, 10), "query_id", [F.desc("votes"), "target_id"], 3)
+    hits = best.join(q.select(F.col("seq_id").alias("query_id"), F.col("seq").alias("query_seq")), "query_id").join(t.select(F.col("seq_id").alias("target_id"), "seq"), "target_id")
+    margin = 50
+    start = F.greatest(F.lit(1), F.col("diagonal") + 1 - margin)
+    hits = hits.withColumn("target_seq", F.substring("seq", start, F.length("query_seq") + 2 * margin)).withColumn("offset", start - 1)
+    out = kernels.align_hits(hits).join(hits.select("query_id", "target_id", "votes", "rank", "offset"), ["query_id", "target_id"])
+    return out.select("query_id", "target_id", "rank", "votes", "score", "query_start", (F.col("target_start") + F.col("offset")).alias("target_start"), "cigar")
