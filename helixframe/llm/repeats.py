@@ -303,8 +303,9 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, k: int = K, keep: list[
 
     texts = docs.select(*text_key(F.col("`text`")), F.col("`text`").alias("text"))
     every = stored(texts.mapInArrow(_stretches(length, k), STRETCH))
-    shared = every.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("h1") != F.max("h1")).alias("mixed")).where("n > 1").select("anchor", "mixed")
-    shared = stored(every.join(shared, "anchor"))
+    # Written first: a join of two plain tables can be split where one anchor holds a large part of all rows.
+    counted = stored(every.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("h1") != F.max("h1")).alias("mixed")).where("n > 1").select("anchor", "mixed"))
+    shared = stored(every.join(counted, "anchor"))
     forget(spark, mine.pop(0))
     strings = stored(shared.groupBy("anchor", "h1", "h2", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "first", "last", "lead")).alias("at")))
     wanted = strings.where("mixed").select("at.t1", "at.t2", F.struct("anchor", "h1", "h2", "at.first", "at.lead", (F.col("at.last") + length).alias("end")).alias("w")).groupBy("t1", "t2").agg(F.collect_list("w").alias("wanted"))
