@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..operators import atoms as at
 from ..operators import chains, failures, kernels, kmers, points, releases, selection
+from ..streaming import ingest
 from . import adapters as ad
 from .adapters import LINES_SQL, ORDERS_SQL, POINTS_SQL, QUERIES_SQL, TARGETS_SQL, kmers_sql, table
 
@@ -445,6 +446,12 @@ def tm_distance_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.round(g.tm_d0(10 + F.col("vec_id") % 300), 6).alias("d0"))
 
 
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _rounded(ingest.windowed_counts(table(spark, sf_dir, "events"), "1 hour"), "total")
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 # Kernels: iterative numerics without an SQL form, held against plain formulas in the tests
 
 

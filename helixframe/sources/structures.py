@@ -140,8 +140,8 @@ def parse(path: str, data: bytes, kind: str | None = None) -> list[dict]:
     return rows
 
 
-def read(spark: SparkSession, paths: str | list[str], kind: str | None = None) -> DataFrame:
-    """The READ table of files, a folder or a pattern. structure_id is the file's name without its ending."""
+def parsed(files: DataFrame, kind: str | None = None) -> DataFrame:
+    """(path, content) -> the READ table."""
     schema = to_arrow_schema(StructType.fromDDL(READ))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +153,12 @@ def read(spark: SparkSession, paths: str | list[str], kind: str | None = None) -
                     rows = [{"path": path, "error": str(e)}]
                 yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names(READ)} for r in rows], schema=schema)
 
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, READ)
+    return files.mapInArrow(run, READ)
+
+
+def read(spark: SparkSession, paths: str | list[str], kind: str | None = None) -> DataFrame:
+    """The READ table of files, a folder or a pattern. structure_id is the file's name without its ending."""
+    return parsed(spark.read.format("binaryFile").load(paths).select("path", "content"), kind)
 
 
 def atoms(rows: DataFrame, strict: bool = False) -> DataFrame:

@@ -10,9 +10,10 @@ os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
 def spark():
     s = (
         SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "3")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
+        .config("spark.sql.codegen.wholeStage", "false")  # small plans: compiling them takes longer than running them
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
