@@ -23,7 +23,8 @@ MAX_KEY = 200
 
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPACE_SPACE = re.compile(r"\s ")
-_OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]").search
+_OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]").search#: Letters of Latin-1, then signs of ASCII: two matches of either pattern.
+_LETTERS_SIGNS = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\[-`{-~]+)").fullmatch
 _MADE: dict[tuple[str, str], Encoder] = {}
 
 
@@ -50,7 +51,7 @@ class Cache(dict):
         self.old: dict = {}
 
     def __missing__(self, key):
-        out = self.old.get(key)
+        out = self.old.get(key) if self.old else None
         if out is None:
             out = self.make(key)
         if len(key) > MAX_KEY:
@@ -82,7 +83,8 @@ class Encoder:
             self.find = regex.compile(_WORD_PATTERN).findall
         self.pieces = Cache(self._piece, MAX_PIECES)
         self.words = Cache(self._word, MAX_WORDS)
-        self.spaced = Cache(lambda w: self._word(" " + w), MAX_WORDS)
+        self.spaced = Cache(self._bare, MAX_WORDS)
+        self.tokenize, self.space = self.model.tokenize, self.chars[32]
 
     def _pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
@@ -97,15 +99,23 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return self._pack(self.tok.encode(text, add_special_tokens=False).ids)
 
+    def _bare(self, word: str) -> bytes:
+        """A word of letters, or of letters and then signs, of ASCII or Latin-1; anything else goes through the pattern."""
+        if word.isalpha() and (word.isascii() or not _OTHER(word)):
+            return self._pack([t.id for t in self.tokenize(self.space + (word if word.isascii() else word.encode().decode("latin-1").translate(self.chars)))])
+        if m := _LETTERS_SIGNS(word):
+            return self.spaced[m[1]] + self.pieces[m[2]]
+        return self._word(" " + word)
+
     def _word(self, word: str) -> bytes:
         if _OTHER(word) or len(word) > 2000:
             return self.whole(word)
         if self.kind == "word":
             word = word.lower() if word.isascii() else "".join([c.lower() for c in word])
             if word.isalpha():
-                return self.pieces[word]
-        elif word[1:].isalpha() and word[0] == " ":
-            return self.pieces[word]
+                return self._piece(word)
+            if m := _LETTERS_SIGNS(word):
+                return self.words[m[1]] + self.pieces[m[2]]
         return b"".join([self.pieces[x] for x in self.find(word)])
 
     def encode(self, text: str) -> bytes:
