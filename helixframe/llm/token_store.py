@@ -51,17 +51,16 @@ def cuts(ids: np.ndarray) -> list[int]:
     n = len(ids)
     if n <= LEAST:
         return [n] if n else []
-    h = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    base = np.uint64(0xD6E8FEB86659FD93)
-    span = 1
+    h = (ids.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+    h ^= h >> np.uint32(15)
+    base, span = np.uint32(0x85EBCA6B), 1
     with np.errstate(over="ignore"):
         while span < WINDOW:  # the hash of 2s ids from those of s ids
             h[span:] = h[span:] + h[:-span] * base
             base = base * base
             span *= 2
-    h ^= h >> np.uint64(32)
-    found = np.flatnonzero((h & np.uint64(MEAN - 1)) == 0) + 1
+    h ^= h >> np.uint32(16)
+    found = np.flatnonzero((h & np.uint32(MEAN - 1)) == 0) + 1
     out, last = [], 0
     for at in found.tolist():
         while at - last > MOST:
@@ -114,7 +113,8 @@ def write_store(docs: DataFrame, store: str, tokenizer: str, end_id: int = 2, ki
     """Encode every whole text and write the store. One shuffle carries each distinct chunk of a task once; recipes move light."""
     spark = docs.sparkSession
     rows = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_objects(tokenizer, end_id, kind), OBJECT)
-    rows.dropDuplicates(["kind", "key"]).write.option("compression", "zstd").parquet(f"{store}/objects")
+    # A task has dropped its own repeats: dealt by key first, the rows are sorted once, behind the shuffle.
+    rows.repartition("kind", "key").dropDuplicates(["kind", "key"]).write.option("compression", "zstd").parquet(f"{store}/objects")
     recipes = spark.read.schema(OBJECT).parquet(f"{store}/objects").where("kind = 0").select("key", "doc_id", "n_tokens", "root", "chunks")
     order = ["doc_id", "n_tokens", "root", "key"]
     shards = recipes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("shard", F.spark_partition_id())
