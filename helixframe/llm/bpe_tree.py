@@ -12,9 +12,10 @@ Defined cases: null and empty texts have no ids and decode to nothing; repeated
 from __future__ import annotations
 
 import base64
+import heapq
 import hashlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -31,7 +32,9 @@ _SPACES = regex.compile(r"[\s\x1c-\x1f] ").search
 
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.bytes = ranks, {i: b for b, i in ranks.items()}
+        self.ranks, self.bytes = ranks, [b""] * (max(ranks.values(), default=-1) + 1)
+        for b, i in ranks.items():
+            self.bytes[i] = b
         # White space by Unicode's property: other engines count the separators U+001C to U+001F too.
         self.find = regex.compile(pattern).findall
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -46,16 +49,18 @@ class Codec:
 
     def leaf(self, data: bytes) -> list[int]:
         """Merge the neighbours of lowest rank, leftmost first, until none can be merged."""
-        ranks, parts = self.ranks, [data[i : i + 1] for i in range(len(data))]
-        costs = [ranks.get(parts[i] + parts[i + 1], 1 << 60) for i in range(len(parts) - 1)]
-        while costs and (best := min(costs)) < 1 << 60:
+        ranks, none = self.ranks, 1 << 60
+        get, parts = ranks.get, [data[i : i + 1] for i in range(len(data))]
+        costs = [get(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while costs and (best := min(costs)) < none:
             i = costs.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del costs[i]
+            joined = parts[i] + parts[i + 1]
+            parts[i] = joined
+            del parts[i + 1], costs[i]
             if i:
-                costs[i - 1] = ranks.get(parts[i - 1] + parts[i], 1 << 60)
+                costs[i - 1] = get(parts[i - 1] + joined, none)
             if i < len(costs):
-                costs[i] = ranks.get(parts[i] + parts[i + 1], 1 << 60)
+                costs[i] = get(joined + parts[i + 1], none)
         return [ranks[p] for p in parts]
 
     def settled(self, a: int, b: int) -> bool:
@@ -100,8 +105,6 @@ class Codec:
 
     def heap(self, data: bytes) -> list[int]:
         """As leaf(), in n log n steps for long windows: a queue of merges over a linked list."""
-        import heapq
-
         ranks, n = self.ranks, len(data)
         after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         queue = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
@@ -131,12 +134,13 @@ class Codec:
         one = self.ranks.get(data)
         return [one] if one is not None else self.tree(data)
 
-    def _word(self, text: str) -> tuple[list[int], str]:
+    def _word(self, text: str) -> tuple[bytes, str]:
+        """Ids as 32-bit integers, and in decimal. Bytes, as the collector would walk through hundreds of thousands of lists."""
         if text[:1] == " " and text[1:].isascii() and text[1:].isalpha():
             ids = self._piece(text)
         else:
             ids = [i for p in self.find(text) for i in self.pieces[p]]
-        return ids, " ".join(map(str, ids))
+        return array("I", ids).tobytes(), " ".join(map(str, ids))
 
     def encode(self, text: str) -> tuple[list[int], str]:
         """The ids of a text, and the same in decimal.
@@ -151,12 +155,12 @@ class Codec:
             first, *rest = text.split(" ")
             got = [self._word(first), *map(self.spaced.__getitem__, rest)]
         parts, decimals = zip(*got, strict=True)
-        return list(chain.from_iterable(parts)), " ".join(filter(None, decimals))
+        return array("I", b"".join(parts)).tolist(), " ".join(filter(None, decimals))
 
     def decode(self, ids: list[int]) -> bytes:
         if not ids:
             return b""
-        level = [b"".join([self.bytes[i] for i in ids[k : k + 4096]]) for k in range(0, len(ids), 4096)]
+        level = [b"".join(map(self.bytes.__getitem__, ids[k : k + 4096])) for k in range(0, len(ids), 4096)]
         while len(level) > 1:
             level = [b"".join(level[i : i + 2]) for i in range(0, len(level), 2)]
         return level[0]
