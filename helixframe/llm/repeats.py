@@ -28,7 +28,7 @@ from .common import forget, release, scratch, texts_of
 
 LENGTH, K = 400, 128
 #: Different stretches of an anchor above which it is halved; bytes of one transform; bytes of a long text done at once.
-HOT, KERNEL_BYTES, BLOCK = 1500, 1 << 20, 1 << 18
+HOT, KERNEL_BYTES, BLOCK = 1500, 1 << 19, 1 << 18
 
 _POS = np.uint64((1 << 20) - 1)
 _STATE: dict[str, np.ndarray] = {}
