@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import narrow, stored, texts_of
 from .components import components
 
@@ -32,11 +33,11 @@ RADIUS, SEED, WORDS = 2, 42, 3
 HOT, ITEMS = 4096, 1 << 16
 
 
-def shingle_hashes(text: str) -> np.ndarray:
+def shingle_hashes(text: str, n_words: int = WORDS) -> np.ndarray:
     words = text.encode().lower().split()  # of bytes: A to Z only, and the six white bytes of ASCII
     if not words:
         return np.empty(0, np.uint64)
-    parts = [b" ".join(x) for x in zip(*[words[i:] for i in range(WORDS)], strict=False)] or [b" ".join(words)]
+    parts = [b" ".join(x) for x in zip(*[words[i:] for i in range(n_words)], strict=False)] or [b" ".join(words)]
     h = xxhash.xxh64_intdigest
     return np.fromiter((h(x, SEED) for x in parts), np.uint64, len(parts))
 
@@ -192,10 +193,11 @@ def _longer(rows: DataFrame, sizes: tuple[int, int, int], width: int) -> DataFra
     return rows.select("fp", _longer_keys(sizes, width).alias("x")).select("fp", "x.key", "x.rest")
 
 
-def grouped(marked: DataFrame) -> DataFrame:
-    """Rows with fp -> (fp, root): a row for each distinct fingerprint and the smallest of its component."""
+def grouped(marked: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """Rows with fp -> (fp, root): a row for each distinct fingerprint and the smallest of its component. more: further edges."""
     distinct = marked.select("fp").distinct()
-    found = components(links(distinct)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    edges = links(distinct) if more is None else links(distinct).union(more)
+    found = components(edges).select(F.col("a").alias("fp"), F.col("b").alias("root"))
     return distinct.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -209,16 +211,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, words: int | None = None, least: tuple[int, int] = (4, 5)) -> DataFrame:
     """One row of each component: that with the smallest doc_id (null last), then the smallest hash of its columns.
 
-    The columns are those of docs. Of rows that are alike in every column one stays.
+    The columns are those of docs. Of rows that are alike in every column one stays. With words, texts are also linked if their
+    sets of shingles of so many words have a Jaccard coefficient of least (a fraction) or more.
     """
     row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     marked = stored(fingerprints(docs, row), "fingerprints")
     mine = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     heads = marked.groupBy("fp").agg(F.min(mine).alias("head"))
-    keep = stored(grouped(heads), "roots").join(heads, "fp").groupBy("root").agg(F.min("head").alias("head"))
+    more = None if words is None else jaccard.links(docs, row, marked.select("row", "fp"), words, least)
+    keep = stored(grouped(heads, more), "roots").join(heads, "fp").groupBy("root").agg(F.min("head").alias("head"))
     keep = keep.select(F.coalesce("head.doc_id", F.lit(-1)).alias("__doc"), F.col("head.none").alias("__none"), F.col("head.row").alias("__row")).distinct()
     id_ = F.col("`doc_id`").cast("bigint")
     out = docs.withColumns({"__doc": F.coalesce(id_, F.lit(-1)), "__none": id_.isNull(), "__row": row}).join(keep, ["__doc", "__none", "__row"], "left_semi")
