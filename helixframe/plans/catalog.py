@@ -477,12 +477,10 @@ def dssp_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def smith_waterman_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three best targets of each query by diagonal votes, aligned with gaps around their best diagonal."""
+    """Every target that shares a 10-mer with a query, both aligned as a whole with gaps, ranked by score."""
     q, t = ad.query_sequences(spark, sf_dir), ad.sequences(spark, sf_dir)
-    best = kmers.ranked(kmers.best_diagonals(q, t, 10), "query_id", [F.desc("votes"), "target_id"], 3)
-    hits = best.join(q.select(F.col("seq_id").alias("query_id"), F.col("seq").alias("query_seq")), "query_id").join(t.select(F.col("seq_id").alias("target_id"), "seq"), "target_id")
-    margin = 50
-    start = F.greatest(F.lit(1), F.col("diagonal") + 1 - margin)
-    hits = hits.withColumn("target_seq", F.substring("seq", start, F.length("query_seq") + 2 * margin)).withColumn("offset", start - 1)
-    out = kernels.align_hits(hits).join(hits.select("query_id", "target_id", "votes", "rank", "offset"), ["query_id", "target_id"])
-    return out.select("query_id", "target_id", "rank", "votes", "score", "query_start", (F.col("target_start") + F.col("offset")).alias("target_start"), "cigar")
+    hits = kmers.best_diagonals(q, t, 10).join(q.select(F.col("seq_id").alias("query_id"), F.col("seq").alias("query_seq")), "query_id").join(t.select(F.col("seq_id").alias("target_id"), F.col("seq").alias("target_seq")), "target_id")
+    dealt = hits.repartition(4 * spark.sparkContext.defaultParallelism, "query_id", "target_id")  # alignments take long for their bytes
+    found = kernels.align_hits(dealt, votes=True)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("votes"), "target_id")
+    return found.select("query_id", "target_id", F.row_number().over(w).alias("rank"), "votes", "score", "query_start", "target_start", "cigar")
