@@ -465,7 +465,7 @@ def kabsch_tm_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sasa_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = ad.vector_points(spark, sf_dir)
     atoms = p.select(F.col("structure_id").cast("string").alias("structure_id"), F.col("ord").cast("bigint").alias("atom_ord"), F.lit("CA").alias("atom_name"), F.lit("ALA").alias("residue_name"), F.lit("C").alias("element"), "x", "y", "z")
-    return kernels.sasa(atoms, n=240).withColumn("sasa", F.round("sasa", 6))
+    return kernels.sasa(atoms).withColumn("sasa", F.round("sasa", 6))
 
 
 @query()
