@@ -4,6 +4,10 @@ Lines and paragraphs (lines up to an empty one) are normalised: A-Z in lower cas
 The set of a passage's word bigrams is compared with that of each template. A coefficient of t needs sizes within t / (2 - t)
 of each other, so the sorted sizes of the templates give the candidates, and passages that fit none are not compared.
 
+With inside, notices that are only a part of a line or paragraph, or run over the end of one, are found too: windows of the words of
+the whole text, whose best for each template is taken first. A window counts unless it lies in a line or paragraph that has matched or
+meets one that matched the same template; of windows that meet, that with more common bigrams counts.
+
 Defined cases: null and empty texts match nothing; a passage of one word has no bigram and matches nothing; ties go to the
 first name; null doc_ids, repeated rows and empty tables are kept as they are; other columns are not read.
 """
@@ -71,22 +75,87 @@ class Scanner:
         best = min((-2.0 * len(own & b) / (n + size), name) for size, name, b in self.templates[low:high])
         return (-best[0], best[1]) if -best[0] >= self.threshold else None
 
-    def text(self, text: str) -> list[tuple[float, str]]:
-        out, lines = [], []
+    def text(self, text: str, inside: bool = False) -> list[tuple[float, str]]:
+        out, lines, spans, every = [], [], [], []
         for line in [*normalised(text).split("\n"), ""]:
             words = line.split()
             if words:
+                every += words
                 if got := self.passage(words):
                     out.append(got)
+                    spans.append((len(every) - len(words), len(every), got[1]))
                 lines.append(words)
                 continue
             if len(lines) > 1 and (got := self.passage([w for x in lines for w in x])):
                 out.append(got)
+                spans.append((len(every) - sum(map(len, lines)), len(every), got[1]))
             lines = []
-        return out
-
-
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+        return out + self._inside(every, spans) if inside else out
+
+    def _inside(self, words: list[str], spans: list[tuple[int, int, str]]) -> list[tuple[float, str]]:
+        pairs = list(zip(words, words[1:], strict=False))
+        known = self.known
+        hits = [i for i, x in enumerate(pairs) if x in known]
+        if not hits:
+            return []
+        present = {pairs[i] for i in hits}
+        found = []
+        for size, name, wanted in self.templates:
+            if len(present & wanted) < size * self.ratio - 1e-9:
+                continue
+            free = _apart(sorted(self._windows(pairs, [i for i in hits if pairs[i] in wanted], wanted, size)), [x for x in spans if x[2] == name])
+            found += [(common, score, start, end, name) for score, common, start, end in free if not any(a <= start and end <= b for a, b, _ in spans)]
+        return [(-score, name) for _, score, _, _, name in _apart(sorted(found), [], 2)]
+
+    def _windows(self, pairs: list[tuple[str, str]], hits: list[int], wanted: set[tuple[str, str]], size: int) -> Iterator[tuple[float, int, int, int]]:
+        """(- score, - common bigrams, first word, end) of the best window from each place, if it reaches the threshold.
+
+        Leaving off bigrams that aren't wanted, or a first one that comes again, makes no window worse.
+        """
+        most, least = size / self.ratio + 1e-9, size * self.ratio - 1e-9
+        for first in hits:
+            own, common, best = set(), 0, None
+            for at in range(first, len(pairs)):
+                x = pairs[at]
+                if x in own:
+                    if x == pairs[first]:
+                        break
+                    continue
+                own.add(x)
+                if len(own) > most:
+                    break
+                if x in wanted:
+                    common += 1
+                    if common >= least:
+                        score = 2.0 * common / (len(own) + size)
+                        if score >= self.threshold and (best is None or (-score, -common) < best[:2]):
+                            best = (-score, -common, first, at + 2)
+            if best:
+                yield best
+
+
+def _apart(windows: list[tuple], taken: list[tuple], start: int = 2) -> list[tuple]:
+    """The windows, in order, that meet neither a taken span nor one before them."""
+    out, used = [], sorted((a, b) for a, b, _ in taken)
+    ends = [b for _, b in used]
+    # Taken spans may nest (a line in its paragraph): the outer ones are enough.
+    if any(x > y for x, y in zip(ends, ends[1:], strict=False)):
+        outer = []
+        for a, b in used:
+            if not outer or b > outer[-1][1]:
+                outer.append((a, b))
+        used = outer
+    for w in windows:
+        a, b = w[start], w[start + 1]
+        k = bisect.bisect_left(used, (b, 0))
+        if k and used[k - 1][1] > a:
+            continue
+        bisect.insort(used, (a, b))
+        out.append(w)
+    return out
+
+
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, inside: bool = False) -> DataFrame:
     """doc_id, n_matches (passages), licences (names in order, by commas), best_licence and best_score ("" and 0 if none) of every document."""
     wanted = TEMPLATES if templates is None else templates
 
@@ -95,7 +164,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
         for batch in batches:
             n, names, best, score = [], [], [], []
             for text in texts_of(batch, "text"):
-                got = scanner.text(text)
+                got = scanner.text(text, inside)
                 n.append(len(got))
                 names.append(",".join(sorted({x for _, x in got})))
                 top = min(((-s, x) for s, x in got), default=(0.0, ""))

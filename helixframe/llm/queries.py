@@ -34,7 +34,7 @@ def op2_minimum_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licence_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan(table(spark, sf_dir, "documents"))
+    return licences.scan(table(spark, sf_dir, "documents"), inside=True)
 
 
 def op3_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,3 +51,30 @@ def test_scan(spark):
     assert len(got) == len(texts) and sum(x.n_matches for x in got) == found
     assert all((x.best_score >= 0.8) == bool(x.best_licence) == bool(x.n_matches) for x in got)
     assert licences.scan(df.limit(0)).count() == 0 and licences.scan(df, {}).where("n_matches > 0").count() == 0
+
+
+def best_inside(words, template):
+    """Best coefficient of all windows of a short text."""
+    pairs, wanted = list(zip(words, words[1:])), licences.bigrams(licences.normalised(template).split())
+    return max((2 * len(set(pairs[i:j]) & wanted) / (len(set(pairs[i:j])) + len(wanted)) for i in range(len(pairs)) for j in range(i + 1, len(pairs) + 1)), default=0)
+
+
+def test_notices_inside_longer_passages():
+    scanner = licences.Scanner(licences.TEMPLATES, licences.THRESHOLD)
+    sentence = "This project is released under the MIT License and hosted on GitHub."
+    assert scanner.text(sentence) == [] and scanner.text(sentence, True) == [(1.0, "MIT")]
+    header = licences.TEMPLATES["GPL-3.0-header"].split()
+    wrapped = "\n".join(" ".join(header[i : i + 9]) for i in range(0, len(header), 9)) + "\n" + "\n".join(f"int v{i} of another\nreturn r{i}" for i in range(60))
+    assert scanner.text(wrapped) == [] and scanner.text(wrapped, True) == [(1.0, "GPL-3.0-header")]
+    for name, text in licences.TEMPLATES.items():
+        assert scanner.text(text, True) == [(1.0, name)]  # a passage that has matched counts once
+        assert scanner.text(f"some words before that {text} {' '.join(f'w{i}' for i in range(120))}", True) == [(1.0, name)]
+    r = random.Random(2)
+    for _ in range(60):
+        words = licences.normalised(r.choice([t for t in licences.TEMPLATES.values() if len(t) < 100])).split()
+        for _ in range(r.randint(0, 3)):
+            words.insert(r.randrange(len(words)), r.choice([*words, "x"]))
+        words = [f"a{i}" for i in range(30)] + words + [f"b{i}" for i in range(30)]
+        want = {n: b for n, t in licences.TEMPLATES.items() if (b := best_inside(words, t)) >= 0.8}
+        got = scanner.text(" ".join(words), True)
+        assert bool(got) == bool(want) and all(abs(want[n] - s) < 1e-12 for s, n in got[:1])
