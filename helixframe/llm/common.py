@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where the setting is absent (tests, one machine) is a temporary folder made and set.
+    Where the setting is absent, a local session (one machine, as in tests) gets a temporary folder; a cluster must name one.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir")
@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     at = sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="helixframe-"))
         at = sc.getCheckpointDir()
     return at.rstrip("/")
@@ -65,3 +67,14 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now, not when the driver happens to collect its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out

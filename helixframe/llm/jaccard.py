@@ -1,15 +1,19 @@
 """Links between texts whose sets of word shingles have a Jaccard coefficient of at least a given fraction, without loss.
 
 Two sets of sizes n and m that reach p/q share p/q of the larger one, so in any order of all shingles they share one of the first
-n - ceil(p n / q) + 1 of each (prefix filter). The order is that of the hashes, with shingles that many sets have in their prefix
-put last, so that a common line brings no texts together. Pairs that share a prefix shingle are compared exactly, first neighbours by
-size; of the rest only pairs that are in different components by then, so that a large group of near copies isn't compared in full.
+n - ceil(p n / q) + 1 of each (prefix filter). The order is that of the hashes, with shingles that over HOT sets have in their prefix
+put last, so that a common line brings no texts together. Pairs that share a prefix shingle are first neighbours by size; of the
+rest only pairs that are in different components by then, so that a large group of near copies isn't compared in full.
+
+A pair is compared by parity sketches before its sets are: bit i of a sketch is the parity of the shingles whose hash ends in i, so
+two sketches differ in no more bits than the sets differ in shingles. Only pairs within the allowed difference have their sets read.
 
 Equal sets are compared once. Texts without words have no set and no link.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,17 +25,49 @@ from pyspark.sql.window import Window
 
 from .common import forget, release, scratch, texts_of
 from .components import components
+from .repeats import BLOCK, mixed, powers
 
 #: Sets with a shingle in their prefix from which on it is put last.
-HOT = 200
-#: Parts in which pairs are compared.
-PARTS = 4
+HOT = 64
+#: Such shingles up to which every worker gets their list (8 bytes each); of more, each set gets its own by a join.
+LISTED = 1 << 20
 
 
-def shingle_set(text: str, words: int) -> np.ndarray:
-    from .simhash import shingle_hashes
+_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_NEXT_WHITE = re.compile(rb"[\t-\r ]")
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A hash of each word, between the white bytes of ASCII, computed for all words of a block at once."""
+    out, at = [], 0
+    while at < len(data):
+        to = _NEXT_WHITE.search(data, at + BLOCK)
+        to = to.start() if to else len(data)
+        block = np.frombuffer(data, np.uint8, to - at, at)
+        at = to
+        inside = np.r_[False, ~_WHITE[block], False]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        values, up, down = powers(len(block) + 1)
+        total = np.zeros(len(block) + 1, np.uint64)
+        np.cumsum(values[block] * up[: len(block)], out=total[1:])
+        out.append(mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
 
-    return np.unique(shingle_hashes(text, words))
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """Sorted hashes of the runs of so many words (of A to Z in lower case; a shorter text is one run), each once."""
+    h = word_hashes(text.encode().lower())
+    count = len(h) - words + 1
+    if count < 1:  # one run of another length: mixed with zeros, and its length
+        h = np.r_[h, np.zeros(words - len(h), np.uint64)] + np.uint64(len(h)) if len(h) else h
+        count = min(1, len(h))
+    found = np.zeros(count, np.uint64)
+    for k in range(words):
+        found = (found ^ h[k : k + count]) * np.uint64(0x9E3779B97F4A7C15)
+        found ^= found >> np.uint64(29)
+    found = np.sort(mixed(found))
+    return found[np.r_[True, found[1:] != found[:-1]]] if count else found
 
 
 def prefix(tokens: np.ndarray, least: tuple[int, int], hot: np.ndarray) -> np.ndarray:
@@ -45,56 +81,99 @@ def prefix(tokens: np.ndarray, least: tuple[int, int], hot: np.ndarray) -> np.nd
     return tokens[:size]
 
 
-def _sets(words: int, least: tuple[int, int], hot: np.ndarray, whole: bool):
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parities of the shingles by the low bits of their hashes, with half a bit for each shingle and a power of two of at least 64 in all."""
+    width = max(64, 1 << max(0, (len(tokens) // 2 - 1).bit_length()))
+    odd = np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketches_differ(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ once the wider one is folded to the width of the other: at most the shingles in one set only."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, b, width = int.from_bytes(x, "little"), int.from_bytes(y, "little"), len(x) * 8
+    while width > len(y) * 8:
+        width //= 2
+        a = a >> width ^ a & (1 << width) - 1
+    return (a ^ b).bit_count()
+
+
+def _sets(words: int, least: tuple[int, int], hot: np.ndarray, what: str):
+    """what: prefixes (of a set that the task has met before: none), or whole sets. A column hot holds a row's own hot shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
-            sids, sizes, lists = [], [], []
-            for text in texts_of(batch, "text"):
+            own = batch.column(batch.schema.get_field_index("hot")) if "hot" in batch.schema.names else None
+            sids, sizes, lists, marks = [], [], [], []
+            for i, text in enumerate(texts_of(batch, "text")):
                 tokens = shingle_set(text, words)
-                sids.append(xxhash.xxh64_intdigest(tokens.tobytes()))
+                sid = xxhash.xxh64_intdigest(tokens.tobytes())
+                mine = hot if own is None else np.sort(np.array(own[i].as_py() or [], np.int64).view(np.uint64))
+                again = what == "prefixes" and sid in met
+                sids.append(sid)
                 sizes.append(len(tokens))
-                lists.append((tokens if whole else prefix(tokens, least, hot)).view(np.int64))
+                marks.append(None if again or what != "prefixes" else sketch(tokens))
+                lists.append((tokens[:0] if again else tokens if what == "whole" else prefix(tokens, least, mine)).view(np.int64))
+                if len(met) < 1 << 20:
+                    met.add(sid)
             ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
             values = pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64))
-            columns = [batch.column(0), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), values)]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "sid", "n", "tokens"])
+            columns = [batch.column(0), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), values), pa.array(marks, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "sid", "n", "tokens", "sketch"])
+
+    return run
+
+
+def _close(least: tuple[int, int]):
+    """Pairs whose sketches differ in no more bits than their sets may differ in shingles."""
+    p, q = least
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m, x, y = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "b", "n_a", "n_b", "x_a", "x_b"))
+            left = [sketches_differ(u, v) <= s + t - 2 * -(-p * (s + t) // (p + q)) for s, t, u, v in zip(n, m, x, y, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(left, pa.bool_()))
 
     return run
 
 
 def links(docs: DataFrame, row: Column, marked: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
     """Edges (a, b) of fingerprints and set ids that span the components of all links. marked: row and fp; row: the mark of a row of docs."""
-    schema = "row bigint, sid bigint, n int, tokens array<bigint>"
+    schema = "row bigint, sid bigint, n int, tokens array<bigint>, sketch binary"
     texts = docs.select(row.cast("bigint").alias("row"), F.col("`text`").alias("text"))
-    some = lambda wanted: texts.join(wanted, "row", "left_semi").dropDuplicates(["row"])
-    made = lambda df, hot, whole: df.mapInArrow(_sets(words, least, hot, whole), schema)
-
-    spark = docs.sparkSession
-    mine: list[str] = []
-    tested: list[str] = []
+    spark, none = docs.sparkSession, np.empty(0, np.uint64)
+    made = lambda df, hot, what: df.mapInArrow(_sets(words, least, hot, what), schema).where("n > 0")
+    mine: dict[str, str] = {}
 
     def kept(df: DataFrame, name: str) -> DataFrame:
-        mine.append(path := scratch(spark, name))
+        mine[name] = path = scratch(spark, name)
         df.write.option("compression", "zstd").parquet(path)
         release(spark)
         return spark.read.schema(df.schema).parquet(path)
 
-    every = kept(made(texts, np.empty(0, np.uint64), False).where("n > 0"), "prefixes")
+    def drop(*names: str) -> None:
+        for name in names:
+            forget(spark, mine.pop(name))
+
+    every = kept(made(texts, none, "prefixes"), "prefixes")
+    counts = every.select(F.explode("tokens").alias("token")).groupBy("token").count()
+    hot = kept(counts.where(F.col("count") > HOT).select("token"), "hot-shingles")
+    many = hot.count()
+    if many and many <= LISTED:
+        drop("prefixes")
+        every = kept(made(texts, np.sort(np.array([r[0] for r in hot.collect()], np.int64).view(np.uint64)), "prefixes"), "prefixes")
+    elif many:
+        of_row = made(texts, none, "whole").select("row", F.explode("tokens").alias("token")).join(hot, "token").groupBy("row").agg(F.collect_set("token").alias("hot"))
+        drop("prefixes")
+        every = kept(made(texts.join(kept(of_row, "hot-of-rows"), "row", "left"), none, "prefixes"), "prefixes")
     of = kept(every.select("row", "sid").distinct().join(marked.distinct(), "row").select("fp", "sid").distinct(), "set-prints")
-    heads = kept(every.groupBy("sid").agg(F.min("row").alias("row")), "set-heads")
-    sets = kept(every.join(heads, ["row", "sid"], "left_semi").select("row", "sid", "n", "tokens").dropDuplicates(["sid"]), "prefix-sets")
-    forget(spark, mine.pop(0))
-    hot = kept(sets.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") > HOT).select("token"), "hot-shingles")
-    found = np.sort(np.array([r[0] for r in hot.collect()], np.int64).view(np.uint64))
-    if len(found):
-        moved = kept(sets.select("row", F.explode("tokens").alias("token")).join(hot, "token", "left_semi").select("row").distinct(), "moved")
-        sets = kept(sets.join(moved, "row", "left_anti").unionByName(made(some(moved), found, False)), "prefix-sets")
-    posts = sets.select("sid", "n", F.posexplode("tokens").alias("pos", "token"))
+    heads = kept(every.where("sketch is not null").groupBy("sid").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("sketch").alias("x")), "set-heads")
+    # One exchange by shingle serves the removal of copies, the counts and the neighbours.
+    posts = every.select("sid", "n", F.posexplode("tokens").alias("pos", "token")).repartition("token").dropDuplicates(["token", "sid"])
     shared = kept(posts.withColumn("many", F.count("*").over(Window.partitionBy("token"))).where("many > 1").drop("many"), "postings")
-
-    for path in mine[2:-1]:
-        forget(spark, path)
-    del mine[2:-1]
+    drop("prefixes")
 
     def near(n: str, i: str, m: str, j: str) -> Column:
         """What can follow the first common shingle is enough; a pair that reaches the coefficient passes at its first one."""
@@ -102,41 +181,38 @@ def links(docs: DataFrame, row: Column, marked: DataFrame, words: int, least: tu
         return left * (least[0] + least[1]) >= (F.col(n) + F.col(m)) * least[0]
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        ends = kept(pairs.select("a", "b").distinct(), name)
-        tested.append(mine[-1])
+        """pairs: distinct (a, b)."""
+        side = lambda s: heads.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("x").alias(f"x_{s}"))
+        ends = kept(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_close(least), "a bigint, b bigint"), f"{name}-close")
         ids = ends.select(F.col("a").alias("sid")).union(ends.select(F.col("b").alias("sid"))).distinct()
-        whole = kept(made(some(heads.join(ids, "sid", "left_semi").select("row")), np.empty(0, np.uint64), True).select("sid", "n", "tokens"), "sets")
-        side = lambda s, df: df.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("tokens").alias(f"t_{s}"))
+        rows = heads.join(ids, "sid", "left_semi").select("row")
+        whole = kept(made(texts.join(rows, "row", "left_semi").dropDuplicates(["row"]), none, "whole").select("sid", "n", "tokens"), f"{name}-sets")
+        full = lambda s: whole.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("tokens").alias(f"t_{s}"))
         both = F.size(F.array_intersect("t_a", "t_b"))
         reach = both * (least[0] + least[1]) >= (F.col("n_a") + F.col("n_b")) * least[0]
-        at = len(mine) - 1
-        out = spark.createDataFrame([], "a bigint, b bigint")
-        for part in range(PARTS):  # one after the other, so that only a part of the sets is shuffled at a time
-            of_part = lambda c: F.pmod(F.col(c), F.lit(PARTS)) == part  # noqa: B023, E731
-            mine_now = ends.where(of_part("a"))
-            others = whole.join(mine_now.select(F.col("b").alias("sid")).distinct(), "sid", "left_semi")
-            met = mine_now.join(side("a", whole.where(of_part("sid"))), "a").join(side("b", others), "b")
-            out = out.union(kept(met.where(reach).select("a", "b"), f"{name}-linked"))
-        forget(spark, mine.pop(at))
+        out = kept(ends.join(full("a"), "a").join(full("b"), "b").where(reach).select("a", "b"), f"{name}-linked")
+        drop(f"{name}-close", f"{name}-sets")
         return out
 
     by = Window.partitionBy("token").orderBy("n", "sid")
     before = lambda c: F.lag(c).over(by)
     chain = shared.select(F.col("sid").alias("b"), "n", "pos", before("sid").alias("a"), before("n").alias("m"), before("pos").alias("i"))
-    first = verified(chain.where(F.col("a").isNotNull() & near("m", "i", "n", "pos")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "neighbours")
-    roots = components(first).select(F.col("a").alias("sid"), F.col("b").alias("root"))
-    rooted = kept(shared.join(roots, "sid", "left").select("token", "sid", "n", "pos", F.coalesce("root", "sid").alias("root")), "rooted")
+    chain = chain.where(F.col("a").isNotNull() & near("m", "i", "n", "pos")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    chain = kept(chain.distinct(), "neighbours")
+    first = verified(chain, "first")
+    roots = kept(components(first).select(F.col("a").alias("sid"), F.col("b").alias("root")), "set-roots")
     every_root = Window.partitionBy("token")
-    open_ = rooted.withColumns({"x": F.min("root").over(every_root), "y": F.max("root").over(every_root)}).where("x <> y").drop("x", "y")
-    open_ = kept(open_, "open")
+    rooted = shared.join(roots, "sid", "left").select("token", "sid", "n", "pos", F.coalesce("root", "sid").alias("root"))
+    open_ = kept(rooted.withColumns({"low": F.min("root").over(every_root), "high": F.max("root").over(every_root)}).where("low <> high").drop("low", "high"), "open")
+    drop("postings")
     other = open_.select("token", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("pos").alias("i"), F.col("root").alias("other"))
     pairs = open_.withColumnRenamed("sid", "a").join(other, "token").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("other")) & near("n", "pos", "m", "i"))
-    second = verified(pairs.select("a", "b").join(spark.read.schema("a bigint, b bigint").parquet(tested[0]), ["a", "b"], "left_anti"), "pairs")
-    linked = first.union(second)
+    pairs = kept(pairs.select("a", "b").distinct().join(chain, ["a", "b"], "left_anti"), "pairs")
+    drop("open", "neighbours")
+    linked = first.union(verified(pairs, "second"))
     ends = linked.select(F.col("a").alias("sid")).union(linked.select(F.col("b").alias("sid"))).distinct()
-    several = of.groupBy("sid").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("sid")
+    several = of.groupBy("sid").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("sid")
     own = of.join(ends.union(several).distinct(), "sid", "left_semi").select(F.col("fp").alias("a"), F.col("sid").alias("b"))
     out = kept(linked.union(own), "jaccard-edges")
-    for path in mine[:-1]:
-        forget(spark, path)
+    drop(*[name for name in mine if name != "jaccard-edges"])
     return out

@@ -24,17 +24,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, release, scratch, texts_of
+from .common import forget, fresh, release, scratch, texts_of
 
 LENGTH, K = 400, 128
 #: Different stretches of an anchor above which it is halved; bytes of one transform; bytes of a long text done at once.
 HOT, KERNEL_BYTES, BLOCK = 1500, 1 << 19, 1 << 18
+#: Bytes that one task transforms, as long as there are no more tasks than a driver can plan.
+TASK_BYTES, MOST_TASKS = 8 << 20, 50_000
 
 _POS = np.uint64((1 << 20) - 1)
 _STATE: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Random values of bytes, and powers of an odd base and of its inverse modulo 2**64."""
     if "up" not in _STATE or len(_STATE["up"]) < n:
         size = 1 << max(16, (n - 1).bit_length())
@@ -48,7 +50,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _STATE["bytes"], _STATE["up"], _STATE["down"]
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
+def mixed(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
@@ -57,10 +59,10 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def anchors(data: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first window, last window, anchor place, anchor hash) of each stretch of a byte array of at least length bytes."""
-    values, up, down = _powers(len(data) + 1)
+    values, up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(values[data] * up[: len(data)], out=total[1:])
-    h = _mixed((total[k:] - total[:-k]) * down[: len(data) - k + 1])
+    h = mixed((total[k:] - total[:-k]) * down[: len(data) - k + 1])
     best = (h & ~_POS) | np.arange(len(h), dtype=np.uint64)
     span, want = 1, length - k + 1
     while span * 2 <= want:
@@ -286,7 +288,10 @@ def _resolve(parts: DataFrame, length: int, stored) -> DataFrame:
         whole = marked.where("n > 1").select("v1", "v2", F.col("off").alias("first"), (F.col("off") + F.length("data") - length).cast("int").alias("last"))
         full = whole if full is None else full.union(whole)
         rest = marked.where("n = 1 or (v1 = head.v1 and v2 = head.v2 and off = head.off)").select(*_PART_NAMES)
-    out = ready.repartition("key").sortWithinPartitions("key").mapInArrow(_kernel(length), RUN)
+    # A number of its own, by bytes to transform: left to itself, the exchange would be coalesced by the bytes it moves, which say little of the work.
+    total = parts.agg(F.sum(F.length("data"))).first()[0] or 0
+    tasks = min(max(1, -(-total // TASK_BYTES)), MOST_TASKS)
+    out = ready.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_kernel(length), RUN)
     return out if full is None else out.union(full)
 
 
@@ -374,22 +379,32 @@ def removed(docs: DataFrame, length: int = LENGTH, k: int = K, digests: bool = T
     return rows.join(found, ["t1", "t2"], "left").select("doc_id", "text", "runs").mapInArrow(run, schema)
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = LENGTH, k: int = K, words: int | None = None, always: int = LENGTH) -> DataFrame:
     """The rows of docs with repeated strings cut out of text and, where there is such a column, n_chars counted anew.
 
-    A character of which a byte is cut goes as a whole; a null text stays null.
+    Every copy goes, the first too, so a text that consists of repeated strings becomes empty. With words, of the maximal runs only
+    those of over so many words, or of always bytes or more, are cut. A character of which a byte is cut goes as a whole; a null text
+    stays null.
     """
-    found = repeated_runs(docs, length, k).select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("runs").alias("__runs"))
+    one, two, where = fresh(docs, "t1", "t2", "runs")
+    found = repeated_runs(docs, length, k).select(F.col("t1").alias(one), F.col("t2").alias(two), F.col("runs").alias(where))
 
     @F.pandas_udf("string")
     def cut(texts, all_runs):
         import pandas as pd
 
-        return pd.Series([_kept(t.encode(), spans_of(r, length)).decode("utf-8", "ignore") if t and r is not None and len(r) else t for t, r in zip(texts, all_runs, strict=True)], dtype=object)
+        def rest(text: str, runs) -> str:
+            data = text.encode()
+            spans = spans_of(runs, length)
+            if words is not None:
+                spans = [(a, b) for a, b in spans if b - a >= always or len(data[a:b].split()) > words]
+            return _kept(data, spans).decode("utf-8", "ignore")
+
+        return pd.Series([rest(t, r) if t and r is not None and len(r) else t for t, r in zip(texts, all_runs, strict=True)], dtype=object)
 
     a, b = text_key(F.col("`text`"))
-    rows = docs.withColumns({"__t1": a, "__t2": b}).join(found, ["__t1", "__t2"], "left")
-    rows = rows.withColumn("text", cut(F.col("`text`"), F.col("__runs")))
+    rows = docs.withColumns({one: a, two: b}).join(found, [one, two], "left")
+    rows = rows.withColumn("text", cut(F.col("`text`"), F.col(where)))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import narrow, stored, texts_of
+from .common import fresh, narrow, stored, texts_of
 from .components import components
 
 RADIUS, SEED, WORDS = 2, 42, 3
@@ -223,7 +223,8 @@ def deduplicate(docs: DataFrame, words: int | None = None, least: tuple[int, int
     heads = marked.groupBy("fp").agg(F.min(mine).alias("head"))
     more = None if words is None else jaccard.links(docs, row, marked.select("row", "fp"), words, least)
     keep = stored(grouped(heads, more), "roots").join(heads, "fp").groupBy("root").agg(F.min("head").alias("head"))
-    keep = keep.select(F.coalesce("head.doc_id", F.lit(-1)).alias("__doc"), F.col("head.none").alias("__none"), F.col("head.row").alias("__row")).distinct()
+    doc, none, mark = fresh(docs, "doc", "none", "row")
+    keep = keep.select(F.coalesce("head.doc_id", F.lit(-1)).alias(doc), F.col("head.none").alias(none), F.col("head.row").alias(mark)).distinct()
     id_ = F.col("`doc_id`").cast("bigint")
-    out = docs.withColumns({"__doc": F.coalesce(id_, F.lit(-1)), "__none": id_.isNull(), "__row": row}).join(keep, ["__doc", "__none", "__row"], "left_semi")
-    return out.dropDuplicates(["__doc", "__none", "__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = docs.withColumns({doc: F.coalesce(id_, F.lit(-1)), none: id_.isNull(), mark: row}).join(keep, [doc, none, mark], "left_semi")
+    return out.dropDuplicates([doc, none, mark]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 ORDERS = range(3, 8)
 #: Training documents of each class at most; bytes of texts of a class at most; a feature's documents at least; its z value at least; features at most.
 SAMPLE, SAMPLE_BYTES, LEAST_DOCS, LEAST_Z, MOST_FEATURES = 1500, 12_000_000, 6, 5.0, 8000
@@ -198,5 +200,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that are not predicted toxic, with their columns."""
-    out = docs.withColumn("__score", scorer(model)(F.col("`text`").cast("string"))).where(F.col("__score") < THRESHOLD)
+    (name,) = fresh(docs, "score")
+    out = docs.withColumn(name, scorer(model)(F.col("`text`").cast("string"))).where(F.col(name) < THRESHOLD)
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from helixframe.llm import jaccard, simhash
@@ -33,9 +34,10 @@ def components_of(texts):
     return [find(i) for i in range(len(texts))], wide
 
 
-@pytest.mark.parametrize("hot", [3, 200])
-def test_near_copies_go(spark, hot, monkeypatch):
+@pytest.mark.parametrize("hot, listed", [(3, 0), (5, 1 << 20)])
+def test_near_copies_go(spark, hot, listed, monkeypatch):
     monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "LISTED", listed)
     r = random.Random(3)
     word = lambda: f"w{r.randrange(3000)}"
     line = " ".join(word() for _ in range(12))
@@ -54,3 +56,21 @@ def test_near_copies_go(spark, hot, monkeypatch):
     kept = sorted(x.doc_id for x in simhash.deduplicate(df, words=5).collect())
     assert kept == sorted(set(label))
     assert simhash.deduplicate(df.limit(0), words=5).count() == 0
+
+
+def test_sketches_never_exceed_the_difference():
+    r = random.Random(5)
+    for _ in range(300):
+        pool = [r.getrandbits(64) for _ in range(r.choice([3, 60, 700, 3000]))]
+        x, y = (np.unique(np.array(r.sample(pool, r.randint(1, len(pool))), np.uint64)) for _ in "ab")
+        differ = len(np.setxor1d(x, y))
+        got = jaccard.sketches_differ(jaccard.sketch(x), jaccard.sketch(y))
+        assert got <= differ and got % 2 == differ % 2
+    assert jaccard.sketches_differ(jaccard.sketch(x), jaccard.sketch(x)) == 0
+
+
+def test_shingles_of_short_texts_differ():
+    texts = ["", " ", "a", "a b", "b a", "a b c", "a b c d", "a b c d e", "a b c d e f"]
+    sizes = [len(jaccard.shingle_set(t, 5)) for t in texts]
+    assert sizes == [0, 0, 1, 1, 1, 1, 1, 1, 2]
+    assert len({int(jaccard.shingle_set(t, 5)[0]) for t in texts[2:8]}) == 6
