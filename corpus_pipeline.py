@@ -1,4 +1,10 @@
-"""A corpus pipeline of four stages: toxic documents go, one of each group of near duplicates stays, repeated strings are cut, and the rest is packed."""
+"""A corpus pipeline of four stages: toxic documents go, one of each group of near duplicates stays, repeated passages are cut, and the rest is packed.
+
+Defined cases, in every stage: null and empty texts are no error (never toxic for that alone, near copies of each other, without
+repeats, and packed as a lone end id); null ids stay; rows that are alike in every column are one row after the second stage; ties
+go to the smallest doc_id, then the smallest hash of the row; an empty table gives an empty table; columns beyond doc_id and text
+stay as they are, whatever their names, but for n_chars, which follows the text. Texts are read whole, whatever their length.
+"""
 
 from __future__ import annotations
 
@@ -19,9 +25,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.deduplicate(docs, words=5)
 
 
+#: Bytes of the shortest repeated string that is looked for: 99 % of the repeated passages of over 50 words have as many.
+LEAST_BYTES, ANCHOR_BYTES, LEAST_WORDS = 200, 48, 50
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of strings of 400 bytes that stand elsewhere too."""
-    return repeats.deduplicate(docs)
+    """All documents, without their repeated passages.
+
+    A passage is a maximal run of bytes that strings of 200 bytes cover which also start elsewhere. It is cut if it has over 50 words
+    or 400 bytes (the length of op10), in every copy, the first too: a document that consists of such passages stays as an empty text.
+    """
+    return repeats.deduplicate(docs, LEAST_BYTES, ANCHOR_BYTES, words=LEAST_WORDS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,8 +10,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from helixframe.llm import toxicity
 
-from .test_repeats import plain
-from .test_simhash import classes, plain_fingerprint
+from .test_jaccard import components_of
+from .test_repeats import passages_cut
 from .test_toxicity import corpus
 
 
@@ -35,15 +35,15 @@ def test_stages(spark, tmp_path):
     assert Counter(tables[1]) == Counter(r for r in tables[0] if model.score(r[1]) < toxicity.THRESHOLD)
     assert len(tables[1]) < len(tables[0])
     before = tables[1]
-    label = classes([plain_fingerprint(r[1]) for r in before])
+    label, _ = components_of([r[1] for r in before])
     groups = {}
     for r, c in zip(before, label):
         groups.setdefault(c, []).append(r)
     order = lambda r: (r[0] is None, r[0] or 0)
     assert Counter(order(r) for r in tables[2]) == Counter(order(min(g, key=order)) for g in groups.values())
-    want = plain([r[1] for r in tables[2]], 400)
-    cut = Counter((r[0], None if r[1] is None else k.decode("utf-8", "ignore")) for r, (_, _, _, k) in zip(tables[2], want))
-    assert Counter((r[0], r[1]) for r in tables[3]) == cut and any(c for _, c, _, _ in want)
+    want = passages_cut([r[1] for r in tables[2]], 200, 50, 400)
+    assert Counter((r[0], r[1]) for r in tables[3]) == Counter((r[0], t) for r, t in zip(tables[2], want))
+    assert any(r[1] != t for r, t in zip(tables[2], want))
     assert all(inputs[k].columns == inputs[0].columns for k in range(4))
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     tok.encode_special_tokens = True
