@@ -1,7 +1,11 @@
 """Main text: the cut against all labellings, and hand-made pages."""
 
 import itertools
+import os
 import random
+import time
+
+import pytest
 
 from helixframe.llm import html_text
 
@@ -52,6 +56,61 @@ def test_broken_markup():
     assert len(text("<article>" + f"<p>{LONG}</p>" * 5000)) == 5000 * (len(LONG) + 2) - 2
 
 
+def test_elements_without_end():
+    text = html_text.main_text
+    for name in ("svg", "option", "select", "object", "noscript", "math", "textarea", "iframe", "template"):
+        around = f"<body><div><{name}></div><article><p>{LONG}</p></article>"
+        assert text(around) == LONG, name
+    for name in ("svg", "option", "datalist", "math"):
+        assert text(f"<body><{name}><p>{LONG}</p>") == LONG, name
+    assert text(f"<article><p>{LONG}</p><p>So <math><mi>x</mi> = 1</math> it is, <object>plainly</object> said here.</p></article>") == f"{LONG}\n\nSo x = 1 it is, plainly said here."
+
+
+def test_deep_pages():
+    for depth in (10, 1990, 2500, 50_000):
+        assert html_text.main_text("<div>" * depth + f"<nav><a href=x>Home</a></nav><p>A short paragraph comes here.</p><p>{LONG}</p>") == f"A short paragraph comes here.\n\n{LONG}"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<a "', "<a '", '<script "', "<a b='", '<a b="c', "<!--", "<textarea>", "<div>", "<b>", "</i>", "<b></i>", "<p><b>", "<p><div>", "<svg><body><b><p></p>", "<li><b>", "<a", "<", "<div></span>",
+        "<table><tr><td>", "<a href=x>", "<option>", "&", "<p><div><b><p></p>", "<b><div>x</div>y", "<br>", "</p><",
+    ],
+)
+def test_hostile_markup_takes_linear_time(page):
+    began = time.process_time()
+    for text in (page * (200_000 // len(page)), page * (100_000 // len(page)) + "x</p>" * 20_000):
+        html_text.blocks(text)
+    assert time.process_time() - began < 6
+
+
+def test_neighbours_turn_labels():
+    """Short lines that the classifier takes for boilerplate are content among paragraphs, and links stay out."""
+    page = f"<article><p>{LONG}</p><p>So it was</p><ul><li>one</li><li>two</li></ul><p>{LONG}</p><ul><li><a href=a>one</a></li></ul></article>"
+    found = html_text.blocks(page)
+    keep = html_text.minimum_cut(html_text.weigh(found), html_text.edges(found))
+    assert [b.cost > 0 for b in found] == [True, True, False, False, True, False]
+    assert keep == [True] * 5 + [False]
+    table = "<table>" + "<tr><td>1</td><td>x</td></tr>" * 300 + "</table>"
+    assert len(html_text.main_text(f"<article><p>{LONG}</p>{table}<p>{LONG}</p></article>").split("\n\n")) == 602
+
+
+def test_neighbours_turn_labels_on_the_test_pages(spark):
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables here")
+    turned = every = 0
+    for row in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        found = html_text.blocks(row.html)
+        keep = html_text.minimum_cut(html_text.weigh(found), html_text.edges(found))
+        turned += sum(k != (b.cost > 0) for k, b in zip(keep, found))
+        every += len(found)
+        inner = [b for b in found if b.element.mark >= html_text.INSIDE]
+        assert all(k for k, b in zip(keep, found) if b.element.mark >= html_text.INSIDE) and inner
+    assert 0 < turned < every / 2
+
+
 def test_table(spark):
     rows = [(1, "u", f"<article><p>{LONG}</p></article>", "x"), (1, "u", f"<article><p>{LONG}</p></article>", "x"), (None, None, None, "x"), (2, "v", "", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
