@@ -1,12 +1,14 @@
 """Operator 6: byte-level BPE as a monoid reduction.
 
-A string's encoding is built from those of its halves. Ids are the encoding of their bytes exactly if every two neighbours,
+A string's encoding is built from those of its halves, down to single bytes. Ids are the encoding of their bytes exactly if every two neighbours,
 encoded together, give themselves back: merges in different parts do not disturb each other, so the first merge that crossed a
 boundary of the whole would also cross it between the two neighbours alone. A join therefore encodes anew only a window around the
 boundary and is done once the window's outer ids agree with the ids beside them; else the window doubles.
-Decoding concatenates bytes up a balanced tree.
+The matches of a text are joined up a balanced tree too (nothing merges across their borders), and decoding concatenates bytes up one.
+Encodings of short strings are remembered, so that a half that has been met isn't reduced again.
 
-Defined cases: null and empty texts have no ids and decode to nothing; repeated rows stay; other columns are not read.
+Defined cases: null and empty texts have no ids and decode to nothing; repeated rows and null doc_ids stay; texts are encoded whole, whatever
+their length; an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,18 +16,20 @@ from __future__ import annotations
 import base64
 import heapq
 import hashlib
+import operator
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import narrow, texts_of
 from .tokens import Cache
 
-#: Bytes up to which a string is merged directly; entries of the caches of a worker, of the last two in each of two halves.
-LEAF, MAX_PAIRS, MAX_PIECES, MAX_WORDS = 24, 200_000, 300_000, 300_000
+#: Entries of the caches of a worker, of all but the first in each of two halves.
+MAX_PAIRS, MAX_NODES, MAX_PIECES, MAX_WORDS = 200_000, 200_000, 200_000, 300_000
 
 _SPACES = regex.compile(r"[\s\x1c-\x1f] ").search
 
@@ -37,7 +41,8 @@ class Codec:
             self.bytes[i] = b
         # White space by Unicode's property: other engines count the separators U+001C to U+001F too.
         self.find = regex.compile(pattern).findall
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[tuple[int, int], tuple[int, ...]] = {}
+        self.nodes = Cache(self._node, MAX_NODES)
         self.pieces = Cache(self._piece, MAX_PIECES)
         self.words = Cache(self._word, MAX_WORDS)
         self.spaced = Cache(lambda w: self._word(" " + w), MAX_WORDS)
@@ -47,70 +52,48 @@ class Codec:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
-    def leaf(self, data: bytes) -> list[int]:
-        """Merge the neighbours of lowest rank, leftmost first, until none can be merged."""
-        ranks, none = self.ranks, 1 << 60
-        get, parts = ranks.get, [data[i : i + 1] for i in range(len(data))]
-        costs = [get(data[i : i + 2], none) for i in range(len(data) - 1)]
-        while costs and (best := min(costs)) < none:
-            i = costs.index(best)
-            joined = parts[i] + parts[i + 1]
-            parts[i] = joined
-            del parts[i + 1], costs[i]
-            if i:
-                costs[i - 1] = get(parts[i - 1] + joined, none)
-            if i < len(costs):
-                costs[i] = get(joined + parts[i + 1], none)
-        return [ranks[p] for p in parts]
-
-    def settled(self, a: int, b: int) -> bool:
-        """Whether the two ids, encoded together, give themselves back."""
+    def pair(self, a: int, b: int) -> tuple[int, ...]:
+        """Two ids encoded together; they are settled if that gives them back."""
         got = self.pairs.get((a, b))
         if got is None:
             if len(self.pairs) >= MAX_PAIRS:
                 self.pairs.clear()
-            got = self.pairs[a, b] = self._direct(self.bytes[a] + self.bytes[b]) == [a, b]
+            got = self.pairs[a, b] = self.merged(self.bytes[a] + self.bytes[b])
         return got
 
-    def _direct(self, data: bytes) -> list[int]:
-        return self.leaf(data) if len(data) <= 512 else self.tree(data)
-
-    def tree(self, data: bytes) -> list[int]:
-        """Encode blocks, then join neighbours pairwise until one is left."""
-        if not data:
-            return []
-        level = [self.leaf(data[i : i + LEAF]) for i in range(0, len(data), LEAF)]
-        while len(level) > 1:
-            up = [self.join(level[i], level[i + 1]) for i in range(0, len(level) - 1, 2)]
-            level = up + level[len(up) * 2 :]
-        return level[0]
-
-    def join(self, a: list[int], b: list[int]) -> list[int]:
-        if self.settled(a[-1], b[0]):
+    def settled(self, a: int, b: int) -> bool:
+        return self.pair(a, b) == (a, b)
+
+    def _node(self, data: bytes) -> tuple[int, ...]:
+        """Encode the halves and join them."""
+        if len(data) < 2:
+            return (self.ranks[data],) if data else ()
+        mid = len(data) // 2
+        return self.join(self.nodes[data[:mid]], self.nodes[data[mid:]])
+
+    def join(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
+        window, left, right = self.pair(a[-1], b[0]), 1, 1
+        if window == (a[-1], b[0]):
             return a + b
-        left = right = 1
         while True:
-            left, right = min(left, len(a)), min(right, len(b))
-            window = self._window(b"".join([self.bytes[i] for i in a[len(a) - left :] + b[:right]]), left == len(a) and right == len(b))
             fits_left = left == len(a) or self.settled(a[-left - 1], window[0])
             fits_right = right == len(b) or self.settled(window[-1], b[right])
             if fits_left and fits_right:
                 return a[: len(a) - left] + window + b[right:]
-            left, right = left if fits_left else 2 * left, right if fits_right else 2 * right
-
-    def _window(self, data: bytes, whole: bool) -> list[int]:
-        if len(data) <= 512:
-            return self.leaf(data)
-        return self.heap(data)
+            left, right = min(left if fits_left else 2 * left, len(a)), min(right if fits_right else 2 * right, len(b))
+            window = self.merged(b"".join([self.bytes[i] for i in a[len(a) - left :] + b[:right]]))
 
-    def heap(self, data: bytes) -> list[int]:
-        """As leaf(), in n log n steps for long windows: a queue of merges over a linked list."""
+    def merged(self, data: bytes) -> tuple[int, ...]:
+        """Encode the bytes of a window anew: the neighbours of lowest rank are merged first, from a queue over a linked list."""
         ranks, n = self.ranks, len(data)
+        one = ranks.get(data)
+        if one is not None and n <= 2:
+            return (one,)
         after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         queue = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
         heapq.heapify(queue)
         while queue:
-            r, i, to = heapq.heappop(queue)
+            _, i, to = heapq.heappop(queue)
             j = after[i] if end[i] else n
             if not end[i] or j >= n or end[j] != to:
                 continue
@@ -126,13 +109,16 @@ class Codec:
         while i < n:
             out.append(ranks[data[i : end[i]]])
             i = after[i]
-        return out
+        return tuple(out)
 
-    def _piece(self, text: str) -> list[int]:
+    def _piece(self, text: str) -> tuple[int, ...]:
         """Ids of one match of the pattern. A match that is itself in the vocabulary is one id."""
         data = text.encode()
         one = self.ranks.get(data)
-        return [one] if one is not None else self.tree(data)
+        if one is not None:
+            return (one,)
+        mid = len(data) // 2
+        return self.join(self.nodes[data[:mid]], self.nodes[data[mid:]]) if mid else self.nodes[data]
 
     def _word(self, text: str) -> tuple[bytes, str]:
         """Ids as 32-bit integers, and in decimal. Bytes, as the collector would walk through hundreds of thousands of lists."""
@@ -155,15 +141,18 @@ class Codec:
             first, *rest = text.split(" ")
             got = [self._word(first), *map(self.spaced.__getitem__, rest)]
         parts, decimals = zip(*got, strict=True)
-        return array("I", b"".join(parts)).tolist(), " ".join(filter(None, decimals))
+        return array("I", _up(parts)).tolist(), " ".join(filter(None, decimals))
 
     def decode(self, ids: list[int]) -> bytes:
-        if not ids:
-            return b""
-        level = [b"".join(map(self.bytes.__getitem__, ids[k : k + 4096])) for k in range(0, len(ids), 4096)]
-        while len(level) > 1:
-            level = [b"".join(level[i : i + 2]) for i in range(0, len(level), 2)]
-        return level[0]
+        return _up([self.bytes[i] for i in ids])
+
+
+def _up(level: Sequence[bytes]) -> bytes:
+    """The concatenation of neighbours, and of those, until one is left."""
+    while len(level) > 1:
+        pairs = [*map(operator.add, level[::2], level[1::2])]
+        level = [*pairs, level[-1]] if len(level) % 2 else pairs
+    return level[0] if level else b""
 
 
 _MADE: dict[tuple[str, str], Codec] = {}
@@ -194,6 +183,4 @@ def encode(docs: DataFrame, ranks: str, pattern: str, digests: bool = False) ->
             )
 
     kinds = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary"
-    from pyspark.sql import functions as F
-
     return narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, f"doc_id bigint, n_tokens bigint, {kinds}")

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import zlib
 
@@ -49,11 +50,48 @@ def test_tree_equals_library():
         assert decimal == " ".join(map(str, ids)) and own.decode(ids) == t.encode()
 
 
-def test_heap_equals_leaf():
+def plain_merges(ranks, data):
+    """The neighbours of lowest rank are merged first, the leftmost of equals, until none can be."""
+    parts = [data[i : i + 1] for i in range(len(data))]
+    while True:
+        costs = [(ranks[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in ranks]
+        if not costs:
+            return tuple(ranks[p] for p in parts)
+        _, i = min(costs)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_halves_join_to_the_whole():
     own, r = bpe_tree.codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), random.Random(3)
-    for n in (1, 2, 30, 300, 700):
-        data = bytes(r.choice(b"aab ethn") for _ in range(n))
-        assert own.heap(data) == own.leaf(data) == own.tree(data)
+    for n in (0, 1, 2, 3, 30, 300):
+        for letters in (b"aab ethn", b"a", bytes(range(256))):
+            data = bytes(r.choice(letters) for _ in range(n))
+            assert own.merged(data) == own.nodes[data] == plain_merges(own.ranks, data)
+
+
+def test_documents_go_through_joins(spark, monkeypatch):
+    """On the test documents, words are reduced by joins, and some of these need windows beyond the two ids at the border."""
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables here")
+    own, ref = bpe_tree.Codec.from_file(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), reference_codec()
+    joins, merged, wide = own.join, own.merged, own.pair
+    seen = {"join": 0, "window": 0, "pair": 0}
+
+    def count(name, f):
+        def run(*args):
+            seen[name] += 1
+            return f(*args)
+
+        return run
+
+    own.join, own.merged, own.pair = count("join", joins), count("window", merged), count("pair", wide)
+    texts = [x.text or "" for x in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    for t in texts:
+        ids, _ = own.encode(t)
+        assert ids == ref.encode_ordinary(t) and own.decode(ids) == t.encode()
+    words = len(own.words) + len(own.spaced)
+    assert seen["join"] > words / 2 and seen["window"] > len(own.pairs) and seen["pair"] > seen["join"]
 
 
 def test_fill_is_best():
