@@ -2,9 +2,10 @@
 
 Vectors of whole numbers are grouped by length into geometric buckets, and a bucket into blocks of bounded size; queries form
 blocks of their own. A first pass over a block of the longest vectors gives each query a score that its k-th answer can't be below. A query
-then skips every bucket whose longest vector can't reach it. In a block that is left, the score becomes a threshold on the cosine: if that is high,
-vectors are kept whose two heaviest query coordinates lie in the range that such a cosine allows (coordinate pruning), else
-those long enough (length pruning). What is kept is verified by exact products. Ranges have a margin for rounding.
+then skips every bucket whose longest vector can't reach it. In a block that is left, the score becomes a threshold on the cosine, from
+which the query chooses: coordinate pruning over as many of its heaviest coordinates as that threshold needs (the product over these, and the
+lengths of what is left of both vectors, bound the whole product), or, if too few would go, length pruning alone. What is kept is
+verified by exact products. Bounds have a margin for rounding.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components, and rows without an id, take no part; rows
 with equal ids are different rows and answer each other; vectors of another dimension don't answer a query; an empty table gives an
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 K, SCALE, EVERY = 20, 64, 20
-#: Vectors of a candidate block and of a query block on average; the cosine from which coordinates prune.
-BLOCK, QUERY_BLOCK, COORDINATE_FROM = 4096, 512, 0.5
+#: Vectors of a candidate block and of a query block on average.
+BLOCK, QUERY_BLOCK = 8192, 512
 
 
 def quantized(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -63,31 +64,45 @@ def _packed(rows: DataFrame) -> DataFrame:
     return got.select("block", "dim", F.col("v.vec_id").alias("ids"), F.col("v.rid").alias("rids"), F.flatten("v.q").alias("data"))
 
 
-def block_top(q: np.ndarray, q_square: float, theta: float, vectors: np.ndarray, lengths: np.ndarray, units: np.ndarray) -> np.ndarray:
-    """Indexes of the vectors, sorted by falling length, that could score theta or more with q."""
-    n = len(lengths)
-    length = float(np.sqrt(q_square))
-    if theta <= 0 or length == 0:
-        return np.arange(n) if theta <= 0 else np.empty(0, np.int64)
-    far = int(np.searchsorted(-lengths, -(theta / length) * (1 - 1e-9), "right"))
-    if not far:
-        return np.empty(0, np.int64)
-    cosine = theta / (length * lengths[0])
-    if cosine < COORDINATE_FROM:
-        return np.arange(far)
-    cosine = min(cosine, 1.0)
-    keep = np.ones(far, bool)
-    for f in np.argsort(-np.abs(q))[:2]:
-        x = float(q[f]) / length
-        spread = np.sqrt(max(0.0, (1 - cosine**2) * (1 - x**2))) + 1e-7
-        # A shorter vector needs a higher cosine, so the bucket's least threshold is safe for all.
-        low, high = cosine * x - spread, cosine * x + spread
-        if x >= cosine:
-            high = 1.0 + 1e-7
-        if -x >= cosine:
-            low = -1.0 - 1e-7
-        keep &= (units[:far, f] >= low) & (units[:far, f] <= high)
-    return np.flatnonzero(keep)
+class Block:
+    """Vectors by falling length, with their coordinates as rows."""
+
+    def __init__(self, vectors: np.ndarray):
+        self.real = vectors.astype(float)
+        self.squares = np.square(self.real).sum(axis=1)
+        self.lengths = np.sqrt(self.squares)
+        self.columns = np.ascontiguousarray(self.real.T)
+
+    def focus(self, shares: np.ndarray, cosine: float) -> int:
+        """How many of a query's heaviest coordinates to prune by, if what the others can add at most leaves a spread to the threshold; else none.
+
+        shares: of the squared length of the query in its 1, 2, ... heaviest coordinates; cosine: that which a vector as long as the longest needs.
+        """
+        dim = len(shares)
+        n = np.arange(1, dim + 1)
+        left = np.sqrt(np.maximum(0.0, 1 - shares) * (1 - n / dim))
+        enough = np.flatnonzero(cosine - left >= np.sqrt(shares / dim))
+        return int(enough[0]) + 1 if len(enough) and enough[0] < dim - 1 else 0
+
+    def top(self, q: np.ndarray, theta: float) -> tuple[np.ndarray, int]:
+        """Indexes of the vectors that could score theta or more with q, and the coordinates that pruned."""
+        n, energy = len(self.lengths), np.square(q.astype(float))
+        length = float(np.sqrt(energy.sum()))
+        if theta <= 0 or length == 0:
+            return np.arange(n) if theta <= 0 else np.empty(0, np.int64), 0
+        far = int(np.searchsorted(-self.lengths, -(theta / length) * (1 - 1e-9), "right"))
+        if not far:
+            return np.empty(0, np.int64), 0
+        heavy = np.argsort(-energy, kind="stable")
+        shares = np.cumsum(energy[heavy]) / energy.sum()
+        used = self.focus(shares, theta / (length * float(self.lengths[0])))
+        if not used:
+            return np.arange(far), 0
+        part = self.columns[heavy[:used], :far]
+        product = q[heavy[:used]].astype(float) @ part
+        rest = np.sqrt(np.maximum(0.0, self.squares[:far] - np.square(part, out=part).sum(axis=0)))
+        other = float(np.sqrt(energy[heavy[used:]].sum()))
+        return np.flatnonzero(product + other * rest * (1 + 1e-9) >= theta * (1 - 1e-9)), used
 
 
 def _pairs(k: int, seed: bool):
@@ -104,13 +119,12 @@ def _pairs(k: int, seed: bool):
                 thetas = get("theta").astype(float) if not seed else np.full(len(q_ids), -np.inf)
                 order = np.argsort(-np.square(vectors.astype(float)).sum(axis=1), kind="stable")
                 vectors, ids, rids = vectors[order], ids[order], rids[order]
-                real = vectors.astype(float)
-                lengths = np.sqrt(np.square(real).sum(axis=1))
-                units = real / np.maximum(lengths, 1e-300)[:, None]
+                block = Block(vectors)
+                real = block.real
                 exact = not len(queries) or float(np.abs(real).max(initial=0)) * float(np.abs(queries).max(initial=0)) * dim < 2**53
                 out: list[list[np.ndarray]] = []
                 for q, q_id, q_rid, theta in zip(queries, q_ids, q_rids, thetas, strict=True):
-                    at = block_top(q, float(np.square(q.astype(float)).sum()), float(theta), vectors, lengths, units)
+                    at, _ = block.top(q, float(theta))
                     at = at[rids[at] != q_rid]
                     if not len(at):
                         continue

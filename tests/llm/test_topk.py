@@ -1,5 +1,6 @@
 """Top-k search against all products."""
 
+import os
 import random
 
 import numpy as np
@@ -36,20 +37,44 @@ def test_all_products(spark, block, query_block, spread, monkeypatch):
     assert got == plain(f32)
 
 
+def kept_share(v, queries, k):
+    """Checks that nothing which counts is pruned -> the share of vectors kept, and of queries that pruned by coordinates."""
+    block = topk.Block(v[np.argsort(-np.square(v).sum(axis=1), kind="stable")])
+    kept = by_coordinates = 0
+    for q in queries:
+        scores = block.real @ q
+        theta = float(np.sort(scores)[-k])
+        at, used = block.top(q, theta)
+        assert set(np.flatnonzero(scores >= theta)) <= set(at.tolist())
+        kept += len(at)
+        by_coordinates += used > 0
+    return kept / len(v) / len(queries), by_coordinates / len(queries)
+
+
 def test_pruning_keeps_all_that_count():
     r = np.random.default_rng(2)
-    v = r.integers(-50, 50, (500, 6))
-    v = v[np.argsort(-np.square(v).sum(axis=1), kind="stable")]
-    lengths = np.sqrt(np.square(v.astype(float)).sum(axis=1))
-    units = v / lengths[:, None]
-    pruned = 0
-    for q in r.integers(-50, 50, (200, 6)):
-        scores = v @ q
-        theta = float(np.sort(scores)[-r.integers(1, 30)])
-        at = topk.block_top(q, float(np.square(q.astype(float)).sum()), theta, v, lengths, units)
-        assert set(np.flatnonzero(scores >= theta)) <= set(at.tolist())
-        pruned += len(v) - len(at)
-    assert pruned > 10_000
+    flat = r.integers(-50, 50, (500, 6))
+    share, used = kept_share(flat, r.integers(-50, 50, (200, 6)), 7)
+    assert share < 0.7 and used > 0.5
+    block, shares = topk.Block(flat), np.arange(1, 7) / 6
+    assert block.focus(shares, 0.05) == 0 < block.focus(shares, 0.9) < 6
+    centres = r.normal(0, 60, (20, 64))
+    near = np.rint(centres[r.integers(0, 20, 3000)] + r.normal(0, 15, (3000, 64))).astype(np.int64)
+    share, used = kept_share(near, near[:100], 20)
+    assert share < 0.2 and used == 1
+    long = np.rint(r.normal(0, 1, (2000, 64)) * r.lognormal(2, 1, (2000, 1))).astype(np.int64)
+    assert kept_share(long, long[:100], 20)[0] < 0.5
+
+
+def test_pruning_on_the_test_vectors(spark):
+    """The test vectors have nearly equal lengths and lie by chance, so that it is coordinates that prune."""
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables here")
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    v = np.floor(64 * np.array([x.embedding for x in rows], float)).astype(np.int64)
+    share, used = kept_share(v, v[::20], 21)
+    assert share < 0.5 and used > 0.9
 
 
 def test_empty(spark):
