@@ -5,12 +5,14 @@ filters, differences of rectangle sums read from an integral image over time and
 every position gives a packed 32-bit integer. Two recordings are aligned by a histogram of the offsets at which the upper 20 bits of their integers
 are equal (the first of equal neighbours stands for them), and scored by the share of different bits over the overlap.
 
-A search compares blocks of queries with blocks of recordings; each block keeps the best of each query, so that a recording with any
-number of copies gives no more than the asked number of answers.
+A search compares blocks of queries with blocks of recordings, which hold a bounded number of integers unless a single recording has more;
+each block keeps the best of each query, so that a recording with any number of copies gives no more than the asked number of answers.
+Every offset with enough equal integers is verified. Enough is LEAST_EQUAL, or as many as the shorter recording can give.
 
 Defined cases: recordings that are null, hold null or non-finite samples or are too short for an integer have no fingerprint and
-answer nothing; rows without an id take no part; rows with equal ids are different rows; silence gives equal integers; an empty table
-gives an empty result; other columns are not read.
+answer nothing; rows without an id take no part; rows with equal ids are different rows; silence gives equal integers, and silent
+recordings match each other; of equal bit errors the longer overlap, then the smaller id wins; an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ RATE, FRAME, HOP, WIDTH = 2000, 512, 128, 16
 LOWEST, HIGHEST = 100.0, 950.0
 #: Equal integers at one offset and positions in common at least; share of different bits at most.
 LEAST_EQUAL, LEAST_OVERLAP, MOST_ERROR, KEY_SHIFT = 3, 8, 0.35, 12
-K, EVERY, BLOCK, QUERY_BLOCK = 10, 100, 2048, 128
+#: Answers; the divisor of the ids of queries; integers in a block of recordings and of queries.
+K, EVERY, BLOCK, QUERY_BLOCK = 10, 100, 1 << 17, 1 << 13
 
 
 def chroma(samples: np.ndarray, rate: int = RATE, frame: int = FRAME, hop: int = HOP) -> np.ndarray:
@@ -90,24 +93,32 @@ def melody(values: np.ndarray, rate: int = RATE, note: int = 128) -> np.ndarray:
 _PRINT = "rid bigint, id bigint, fp array<bigint>"
 
 
-def _fingerprints(as_melody: bool, rate: int):
+def retaken(samples: np.ndarray, seed: int, cut: int, noise: float) -> np.ndarray:
+    """A recording as another device would give it: begun later, softer, and with noise."""
+    rest = samples[cut:]
+    return 0.5 * rest + np.random.default_rng(seed).normal(0, noise, len(rest))
+
+
+def _fingerprints(as_melody: bool, rate: int, cut: int, noise: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for x in batch.column(2):
+            for i, x in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 values = x.values.to_numpy(zero_copy_only=False)
-                out.append(fingerprint(melody(values, rate) if as_melody else values, rate).astype(np.int64))
+                sound = melody(values, rate) if as_melody else values
+                out.append(fingerprint(retaken(sound, abs(i), cut, noise) if cut or noise else sound, rate).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["rid", "id", "fp"])
 
     return run
 
 
-def fingerprints(rows: DataFrame, id_column: str, samples: str, as_melody: bool = False, rate: int = RATE) -> DataFrame:
-    """rid, id and fp of the rows whose samples (array of numbers) are whole. as_melody: the numbers are notes, not samples."""
+def fingerprints(rows: DataFrame, id_column: str, samples: str, as_melody: bool = False, rate: int = RATE, cut: int = 0, noise: float = 0.0) -> DataFrame:
+    """rid, id and fp of the rows whose samples (array of numbers) are whole. as_melody: the numbers are notes, not samples; cut, noise: of retaken()."""
     x = F.col(f"`{samples}`")
     whole = F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v) != float("inf"))), F.lit(False))
     kept = rows.where(whole & F.col(f"`{id_column}`").isNotNull())
-    return kept.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_column}`").cast("bigint").alias("id"), x.cast("array<double>").alias("x")).mapInArrow(_fingerprints(as_melody, rate), _PRINT)
+    kept = kept.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_column}`").cast("bigint").alias("id"), x.cast("array<double>").alias("x"))
+    return kept.mapInArrow(_fingerprints(as_melody, rate, cut, noise), _PRINT)
 
 
 def _starts(fp: np.ndarray) -> np.ndarray:
@@ -127,12 +138,14 @@ def align(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
 
 def matches(queries: list[np.ndarray], others: list[np.ndarray]) -> list[tuple[int, int, int, int, int, float]]:
     """(query, other, offset, equal integers, overlap, error) of the best offset of each pair that has enough in common."""
-    parts = [(np.full(len(s), i), s, q[s] >> KEY_SHIFT) for i, q in enumerate(queries) if len(s := _starts(q))]
+    starts = [_starts(q) for q in queries]
+    parts = [(np.full(len(s), i), s, q[s] >> KEY_SHIFT) for i, (q, s) in enumerate(zip(queries, starts, strict=True)) if len(s)]
     if not parts:
         return []
     q_of, q_at, q_key = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(q_key, kind="stable")
     q_of, q_at, q_key = q_of[order], q_at[order], q_key[order]
+    q_runs = np.array([len(s) for s in starts])
     out = []
     for j, fp in enumerate(others):
         s = _starts(fp)
@@ -145,23 +158,20 @@ def matches(queries: list[np.ndarray], others: list[np.ndarray]) -> list[tuple[i
         code = q_of[at] << 32 | (np.repeat(s, n) - q_at[at] + (1 << 31))
         code, count = np.unique(code, return_counts=True)
         who, offset = code >> 32, (code & (1 << 32) - 1) - (1 << 31)
-        good = count >= LEAST_EQUAL
-        who, offset, count = who[good], offset[good], count[good]
-        if not len(who):
-            continue
-        best = np.lexsort((offset, np.abs(offset), -count, who))
-        first = best[np.r_[True, who[best][1:] != who[best][:-1]]]
-        for k in first.tolist():
-            overlap, error = align(queries[who[k]], fp, int(offset[k]))
-            if overlap >= LEAST_OVERLAP and error <= MOST_ERROR:
-                out.append((int(who[k]), j, int(offset[k]), int(count[k]), overlap, error))
+        good = count >= np.minimum(LEAST_EQUAL, np.minimum(q_runs[who], len(s)))
+        best: dict[int, tuple] = {}
+        for w, o, c in zip(who[good].tolist(), offset[good].tolist(), count[good].tolist(), strict=True):
+            overlap, error = align(queries[w], fp, o)
+            if overlap >= min(LEAST_OVERLAP, len(queries[w]), len(fp)) and error <= MOST_ERROR:
+                best[w] = min(best.get(w, (2.0,)), (error, -overlap, abs(o), o, c))
+        out += [(w, j, o, c, -overlap, error) for w, (error, overlap, _, o, c) in best.items()]
     return out
 
 
 _HIT = "q_rid bigint, query_id bigint, rid bigint, vec_id bigint, offset int, n_equal int, overlap int, bit_error double"
 
 
-def _search(k: int):
+def _search(k: int, others_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _HIT.split(", ")]
         for batch in batches:
@@ -170,7 +180,7 @@ def _search(k: int):
                 rows: dict[int, list[tuple]] = {}
                 for q, o, offset, equal, overlap, error in matches(queries, others):
                     a, b = row["queries"][q], row["others"][o]
-                    if a["rid"] != b["rid"]:
+                    if others_only or a["rid"] != b["rid"]:
                         rows.setdefault(q, []).append((error, -overlap, b["id"], b["rid"], a["rid"], a["id"], offset, equal))
                 best = [x for r in rows.values() for x in sorted(r)[:k]]
                 if best:
@@ -182,17 +192,26 @@ def _search(k: int):
     return run
 
 
-def search(prints: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
-    """query_id, rank, vec_id, offset, n_equal, overlap, bit_error: the k best aligned other recordings of each whose id is divisible by every."""
+def _dealt(rows: DataFrame, size: int, number: str, name: str) -> tuple[DataFrame, int]:
+    """Recordings in blocks of about size integers; a longer recording is a block's one or among a few."""
+    total = rows.agg(F.sum(F.size("fp"))).first()[0] or 0
+    parts = max(1, -(-total // size))
+    block = F.pmod(F.xxhash64("rid"), F.lit(parts)).cast("int").alias(number)
+    return rows.groupBy(block).agg(F.collect_list(F.struct("rid", "id", "fp")).alias(name)), parts
+
+
+def search(prints: DataFrame, k: int = K, every: int = EVERY, queries: DataFrame | None = None) -> DataFrame:
+    """query_id, rank, vec_id, offset, n_equal, overlap, bit_error: the k best aligned recordings of each query.
+
+    Queries are prints of their own, or else the recordings whose id is divisible by every, each against all others.
+    """
     rows = stored(prints.where(F.size("fp") > 0), "prints")
-    own = rows.where(F.col("id") % every == 0)
-    n, m = rows.count(), own.count()
-    parts, q_parts = max(1, -(-n // BLOCK)), max(1, -(-m // QUERY_BLOCK))
-    whole = F.struct("rid", "id", "fp")
-    others = stored(rows.groupBy(F.pmod(F.xxhash64("rid"), F.lit(parts)).cast("int").alias("block")).agg(F.collect_list(whole).alias("others")), "print-blocks")
-    queries = own.groupBy(F.pmod(F.xxhash64("rid"), F.lit(q_parts)).cast("int").alias("q_block")).agg(F.collect_list(whole).alias("queries"))
-    dealt = queries.select("queries", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("block")).repartition("block")
-    hits = dealt.join(others, "block").select("queries", "others").mapInArrow(_search(k), _HIT)
+    own = rows.where(F.col("id") % every == 0) if queries is None else stored(queries.where(F.size("fp") > 0), "query-prints")
+    blocks, parts = _dealt(rows, BLOCK, "block", "others")
+    others = stored(blocks, "print-blocks")
+    asked, _ = _dealt(own, QUERY_BLOCK, "q_block", "queries")
+    dealt = asked.select("queries", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("block")).repartition("block")
+    hits = dealt.join(others, "block").select("queries", "others").mapInArrow(_search(k, queries is not None), _HIT)
     order = Window.partitionBy("q_rid").orderBy("bit_error", F.desc("overlap"), "vec_id", "rid")
     ranked = hits.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "offset", "n_equal", "overlap", "bit_error")

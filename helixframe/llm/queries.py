@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe_tree, chroma, html_text, licences, packing, repeats, simhash, token_store, topk, toxicity
 from .common import scratch
@@ -50,9 +51,14 @@ def op7_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chroma_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables hold no sound: each embedding is played as a melody of its components."""
-    prints = chroma.fingerprints(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", as_melody=True)
-    return chroma.search(prints)
+    """The tables hold no sound: each embedding is played as a melody of its components.
+
+    Queries are the rows whose vec_id is divisible by 100, recorded once more from the seventh tone on, softer and with noise. All rows answer.
+    """
+    rows = table(spark, sf_dir, "embeddings")
+    prints = chroma.fingerprints(rows, "vec_id", "embedding", as_melody=True)
+    again = chroma.fingerprints(rows.where(F.col("`vec_id`") % chroma.EVERY == 0), "vec_id", "embedding", as_melody=True, cut=6 * 128 + 40, noise=0.05)
+    return chroma.search(prints, queries=again)
 
 
 def op9_ngram_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
