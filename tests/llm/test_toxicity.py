@@ -38,6 +38,13 @@ def test_held_out_accuracy(spark):
     assert kept.columns == docs.columns and kept.count() == sum(1 - r.predicted for r in got.values())
 
 
+def test_features_are_strings_of_characters():
+    got = {n: len(h) for n, h in toxicity.grams("ÀB日本語")}
+    assert got == {3: 3, 4: 2, 5: 1} and not list(toxicity.grams("ab"))
+    same = [dict(toxicity.grams(t))[3].tolist() for t in ("日本語", "x日本語")]
+    assert same[0][0] == same[1][1] and dict(toxicity.grams("ABC"))[3] == dict(toxicity.grams("abc"))[3]
+
+
 def test_labels_of_held_out_rows_are_not_used(spark):
     rows = corpus(2, 300)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
