@@ -126,25 +126,39 @@ def _recipes(spark: SparkSession, store: str) -> DataFrame:
     return spark.read.schema("key binary, doc_id bigint, n_tokens bigint, root binary, chunks array<binary>, shard int").parquet(f"{store}/recipes")
 
 
-def _write_manifest(spark: SparkSession, store: str) -> None:
-    """A line for each shard, of which there are as many as shuffle partitions: the driver adds up their lengths."""
-    by = _recipes(spark, store).groupBy("shard").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("ids"), F.expr("bit_xor(xxhash64(key, root, n_tokens))").alias("mark")).collect()
+_LINE = "shard int, docs bigint, ids bigint, start bigint, mark bigint, root binary"
+
+
+def _lines(spark: SparkSession, store: str) -> list[tuple[int, int, int, int, int]]:
+    """(shard, documents, ids, ids before it, mark of all its recipes) from the recipes as they are; there are as many shards as shuffle partitions."""
+    mark = F.expr("bit_xor(xxhash64(key, doc_id, root, n_tokens))")
+    by = _recipes(spark, store).groupBy("shard").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("ids"), mark.alias("mark")).collect()
     lines, start = [], 0
     for r in sorted(by, key=lambda r: r.shard):
         lines.append((r.shard, r.docs, r.ids, start, r.mark))
         start += r.ids
-    top = merkle([digest(repr(x).encode()) for x in lines])
-    rows = [(*x, bytearray(top)) for x in lines]
-    spark.createDataFrame(rows, "shard int, docs bigint, ids bigint, start bigint, mark bigint, root binary").coalesce(1).write.parquet(f"{store}/manifest")
+    return lines
+
+
+def _top(lines: list[tuple]) -> bytes:
+    return merkle([digest(repr(x).encode()) for x in lines])
+
+
+def _write_manifest(spark: SparkSession, store: str) -> None:
+    lines = _lines(spark, store)
+    top = bytearray(_top(lines))
+    spark.createDataFrame([(*x, top) for x in lines], _LINE).coalesce(1).write.parquet(f"{store}/manifest")
 
 
 def _manifest(spark: SparkSession, store: str) -> DataFrame:
-    """The manifest, after its root has been compared with its lines."""
-    got = spark.read.schema("shard int, docs bigint, ids bigint, start bigint, mark bigint, root binary").parquet(f"{store}/manifest")
-    lines = sorted(got.collect(), key=lambda r: r.shard)
-    top = merkle([digest(repr(tuple(x)[:5]).encode()) for x in lines])
-    if any(bytes(x.root) != top for x in lines):
+    """The manifest, after its root has been compared with its lines, and its lines with the recipes."""
+    got = spark.read.schema(_LINE).parquet(f"{store}/manifest")
+    rows = sorted(got.collect(), key=lambda r: r.shard)
+    lines = [tuple(x)[:5] for x in rows]
+    if any(bytes(x.root) != _top(lines) for x in rows):
         raise ValueError(f"the manifest of {store} does not match its root")
+    if lines != _lines(spark, store):
+        raise ValueError(f"the recipes of {store} do not match its manifest")
     return got
 
 
@@ -203,6 +217,8 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crcs = []
         for root, n, want, parts in zip(x["root"], x["n_tokens"], x["size"], x["parts"], strict=True):
             crc = total = 0
+            if any(p["n"] is None for p in parts):
+                raise ValueError("a chunk is missing")
             for p in parts:
                 crc = crc_join(crc, p["crc"], 4 * p["n"])
                 total += p["n"]
@@ -228,7 +244,7 @@ def read_digests(spark: SparkSession, store: str, width: int = 2) -> DataFrame:
     chunks = spark.read.schema(OBJECT).parquet(f"{store}/objects").where("kind = 1").select("key", "payload").mapInArrow(_checked(width), "key binary, n bigint, crc bigint")
     starts = _starts(spark, store)
     listed = starts.select("shard", F.col("key").alias("doc"), "doc_id", "start", "n_tokens", "root", F.size("chunks").alias("size"), F.posexplode("chunks").alias("pos", "key"))
-    parts = listed.join(chunks, "key").groupBy("doc").agg(*[F.first(c).alias(c) for c in ("doc_id", "start", "n_tokens", "root", "size")], F.sort_array(F.collect_list(F.struct("pos", "key", "n", "crc"))).alias("parts"))
+    parts = listed.join(chunks, "key", "left").groupBy("doc").agg(*[F.first(c).alias(c) for c in ("doc_id", "start", "n_tokens", "root", "size")], F.sort_array(F.collect_list(F.struct("pos", "key", "n", "crc"))).alias("parts"))
     return parts.mapInArrow(_assembled, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
@@ -238,6 +254,8 @@ def _joined(width: int):
             x = batch.to_pydict()
             ids = []
             for parts in x["parts"]:
+                if any(p["payload"] is None for p in parts):
+                    raise ValueError("a chunk is missing")
                 if any(digest(p["payload"]) != p["key"] for p in parts):
                     raise ValueError("a chunk does not match its digest")
                 ids.append(np.frombuffer(b"".join([p["payload"] for p in parts]), f"<u{width}").astype("<u4").tobytes())
@@ -250,5 +268,5 @@ def read_documents(spark: SparkSession, store: str, width: int = 2) -> DataFrame
     """The documents themselves: doc_id, start and ids as little-endian unsigned 32-bit integers, rebuilt from recipes."""
     chunks = spark.read.schema(OBJECT).parquet(f"{store}/objects").where("kind = 1").select("key", "payload")
     listed = _starts(spark, store).select(F.col("key").alias("doc"), "doc_id", "start", F.posexplode("chunks").alias("pos", "key"))
-    parts = listed.join(chunks, "key").groupBy("doc").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.sort_array(F.collect_list(F.struct("pos", "key", "payload"))).alias("parts"))
+    parts = listed.join(chunks, "key", "left").groupBy("doc").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.sort_array(F.collect_list(F.struct("pos", "key", "payload"))).alias("parts"))
     return parts.mapInArrow(_joined(width), "doc_id bigint, start bigint, ids binary")

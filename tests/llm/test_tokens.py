@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from helixframe.llm import bpe_tree, packing, token_store
@@ -194,8 +195,6 @@ def test_store_detects_damage(spark):
     docs = documents(spark, random_texts(20, 9))
     token_store.write_store(docs, store, P.path("byte_bpe_50k.json"))
     broken = token_store_path(spark)
-    from pyspark.sql import functions as F
-
     objects = spark.read.parquet(f"{store}/objects")
     objects.withColumn("payload", F.when(F.col("kind") == 1, F.concat("payload", F.lit(b"\x00\x00")))).write.parquet(f"{broken}/objects")
     for t in ("recipes", "manifest"):
@@ -204,6 +203,35 @@ def test_store_detects_damage(spark):
         token_store.read_digests(spark, broken).collect()
 
 
+@pytest.mark.parametrize("lost, says", [("kind = 0", "do not match its manifest"), ("kind = 1", "is missing")])
+def test_store_detects_losses(spark, lost, says):
+    """A recipe, or a single chunk, that is gone."""
+    store, broken = token_store_path(spark), token_store_path(spark)
+    token_store.write_store(documents(spark, random_texts(20, 9)), store, P.path("byte_bpe_50k.json"))
+    objects, recipes = spark.read.parquet(f"{store}/objects"), spark.read.parquet(f"{store}/recipes")
+    one = objects.where(lost).agg(F.min("key")).first()[0]
+    objects.where(F.col("key") != F.lit(one)).write.parquet(f"{broken}/objects")
+    recipes.where(F.col("key") != F.lit(one)).write.parquet(f"{broken}/recipes")
+    spark.read.parquet(f"{store}/manifest").write.parquet(f"{broken}/manifest")
+    for read in (token_store.read_digests, token_store.read_documents):
+        with pytest.raises(Exception, match=says):
+            read(spark, broken).collect()
+
+
+def test_very_long_texts(spark):
+    """A text of a million characters goes through the store and the tree whole."""
+    r = random.Random(12)
+    text = " ".join("".join(r.choice("etaoin日é") for _ in range(r.randint(1, 9))) for _ in range(170_000)) + "a" * 100_000
+    docs = spark.createDataFrame([(1, text, "x"), (2, text[:50], "y")], "doc_id long, text string, ids string")
+    store = token_store_path(spark)
+    token_store.write_store(docs, store, P.path("byte_bpe_50k.json"))
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    ids = np.array(tok.encode(text, add_special_tokens=False).ids + [2], "<u4")
+    assert {x.doc_id: (x.n_tokens, x.ids_crc32) for x in token_store.read_digests(spark, store).collect()}[1] == (len(ids), zlib.crc32(ids.tobytes()))
+    got = {x.doc_id: x for x in bpe_tree.encode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()}
+    assert got[1].ids == reference_codec().encode_ordinary(text) and bytes(got[1].decoded) == text.encode()
+
+
 def test_empty_store(spark):
     store = token_store_path(spark)
     token_store.write_store(documents(spark, ["x"]).limit(0), store, P.path("byte_bpe_50k.json"))
