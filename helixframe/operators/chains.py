@@ -78,8 +78,8 @@ def bends(trace: DataFrame, limit: float = 70.0, key: list[str] = KEY) -> DataFr
     return trace.withColumn("kappa", kappa).withColumn("is_bend", F.coalesce((F.col("kappa") > limit).cast("int"), F.lit(0)))
 
 
-def trace_structure(trace: DataFrame, key: list[str] = KEY) -> DataFrame:
-    """Secondary structure from six distances among five CA in a row: H, E, T or C.
+def trace_structure(trace: DataFrame, key: list[str] = KEY, smooth: bool = True) -> DataFrame:
+    """Secondary structure from six distances among five CA in a row: H, E, T or C; smooth: see smoothed().
 
     Fixed values: ideal helix 5.45 (d13, d24, d35), 5.18 (d14, d25), 6.37 (d15) within 2.1;
     ideal strand 6.1, 10.4, 13.0 within 1.42; a turn has d15 below 8.
@@ -97,7 +97,39 @@ def trace_structure(trace: DataFrame, key: list[str] = KEY) -> DataFrame:
 
     five = _whole(p[-2][0], p[2][0])
     state = F.when(~five, "C").when(near(5.45, 5.18, 6.37, 2.1), "H").when(near(6.1, 10.4, 13.0, 1.42), "E").when(d[-2, 2] < 8.0, "T").otherwise("C")
-    return trace.withColumn("state", state)
+    out = trace.withColumn("state", state)
+    return smoothed(out, key) if smooth else out
+
+
+def smoothed(rows: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """Helix and strand states without single ones and lone pairs (both become C), then with gaps of one filled from both sides.
+
+    A state counts as single, or two as a pair, only with two others on each side within the chain. Gaps are filled from the front, so
+    that where helix and strand alternate every second place is filled: the odd ones of the alternating run, but for its last.
+    """
+    w = along(key)
+    s = F.col("state")
+    core = s.isin("H", "E")
+
+    def other(*steps: int) -> Column:
+        out = F.lit(True)
+        for n in steps:
+            out = out & F.coalesce(F.lag("state", -n).over(w) != s, F.lit(False))
+        return out
+
+    same = lambda n: F.lag("state", -n).over(w) == s
+    rows = rows.withColumn("state", F.when(core & other(-2, -1, 1, 2), "C").otherwise(s))
+    pair = same(1) & other(-2, -1, 2, 3) | same(-1) & other(-3, -2, 1, 2)
+    rows = rows.withColumn("state", F.when(core & F.coalesce(pair, F.lit(False)), "C").otherwise(s))
+    before, after = F.lag("state").over(w), F.lead("state").over(w)
+    turns = core & before.isin("H", "E") & (before != s)
+    rows = rows.withColumn("_start", F.when(F.coalesce(turns, F.lit(False)), 0).otherwise(1))
+    rows = rows.withColumn("_run", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*key, "_run").orderBy("ord")) - 1)
+    between = (before == after) & before.isin("H", "E") & (before != s)
+    fill = between & (~core | (F.col("_place") % 2 == 1))
+    length = F.count("*").over(Window.partitionBy(*key))
+    return rows.withColumn("state", F.when(F.coalesce(fill, F.lit(False)) & (length >= 5), before).otherwise(s)).drop("_start", "_run", "_place")
 
 
 def amide_hydrogens(residues: DataFrame) -> DataFrame:

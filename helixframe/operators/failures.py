@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 #: Loader buckets in order of precedence; each entry is (bucket, groups of substrings, one of each group must occur).
 LOADER_BUCKETS = [
     ("atom_charge_suffix", [["atom charge is not correct"]]),
-    ("solitary_dbref1", [["solitary dbref1 definition"]]),
-    ("model_atom_mismatch", [["atoms in models not corresponding"]]),
+    ("solitary_dbref1_definition", [["solitary dbref1 definition"]]),
+    ("model_atom_correspondence", [["atoms in models not corresponding"]]),
     ("ssbond_missing_partner", [["could not find a bond partner"], ["ssbond"]]),
     ("seqres_multiple_residues", [["multiple residues in seqres validation"]]),
     ("seqres_total_invalid", [["seqres residue total invalid"]]),

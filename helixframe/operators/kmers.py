@@ -65,26 +65,49 @@ def idf(df: Column, n: Column) -> Column:
     return F.log1p((n + 1) / (df + 1))
 
 
-def query_weights(queries: DataFrame, targets: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """(query_id, kmer, weight) of each query's k-mers, and the targets' postings of those k-mers only."""
-    own = postings(queries, k).withColumnRenamed("seq_id", "query_id")
-    posts = postings(targets, k).join(own.select("kmer").distinct(), "kmer", "left_semi")
+#: Rows of the queries' side up to which it is sent whole to every task; beyond that, shares into which each k-mer's targets are dealt.
+BROADCAST_ROWS, SALTS = 1_000_000, 16
+
+
+def small(queries: DataFrame, k: int) -> bool:
+    """Whether the queries' k-mers are few enough to be sent to every task, by their number at most."""
+    n = queries.agg(F.sum(F.greatest(F.length("seq") - (k - 1), F.lit(1)))).first()[0]
+    return (n or 0) <= BROADCAST_ROWS
+
+
+def beside(rows: DataFrame, asked: DataFrame, few: bool, salt: str) -> DataFrame:
+    """rows joined by k-mer with the queries' side. Few of these go to the rows, which then need no shuffle; else a frequent k-mer's rows are dealt by salt."""
+    if few:
+        return rows.join(F.broadcast(asked), "kmer")
+    dealt = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(dealt, ["kmer", "salt"]).drop("salt")
+
+
+def asked_postings(own: DataFrame, targets: DataFrame, k: int, few: bool) -> DataFrame:
+    """The targets' distinct (kmer, seq_id) among the k-mers asked for, which filter before anything is shuffled."""
+    return beside(positions(targets, k).select("kmer", "seq_id"), own.select("kmer").distinct(), few, "seq_id").select("kmer", "seq_id").distinct()
+
+
+def query_weights(queries: DataFrame, targets: DataFrame, k: int) -> tuple[DataFrame, DataFrame, bool]:
+    """(query_id, kmer, weight) of each query's k-mers, the targets' postings of those k-mers only, and whether the former are few."""
+    own, few = postings(queries, k).withColumnRenamed("seq_id", "query_id"), small(queries, k)
+    posts = asked_postings(own, targets, k, few)
     n = targets.agg(F.count("*").alias("n"))
     weights = own.join(document_frequency(posts), "kmer", "left").join(F.broadcast(n))  # one row
-    return weights.select("query_id", "kmer", idf(F.coalesce("df", F.lit(0)), F.col("n")).alias("weight")), posts
+    return weights.select("query_id", "kmer", idf(F.coalesce("df", F.lit(0)), F.col("n")).alias("weight")), posts, few
 
 
 def shared_kmers(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     """(query_id, target_id, shared)."""
-    own = postings(queries, k).withColumnRenamed("seq_id", "query_id")
-    return own.join(postings(targets, k), "kmer").groupBy("query_id", F.col("seq_id").alias("target_id")).agg(F.count("*").alias("shared"))
+    own, few = postings(queries, k).withColumnRenamed("seq_id", "query_id"), small(queries, k)
+    return beside(asked_postings(own, targets, k, few), own, few, "seq_id").groupBy("query_id", F.col("seq_id").alias("target_id")).agg(F.count("*").alias("shared"))
 
 
 def coverage(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     """(query_id, target_id, shared, score): shared weight as a part of the query's whole weight, 0 without weight."""
-    weights, posts = query_weights(queries, targets, k)
+    weights, posts, few = query_weights(queries, targets, k)
     total = weights.groupBy("query_id").agg(F.sum("weight").alias("total"))
-    found = weights.join(posts, "kmer").groupBy("query_id", F.col("seq_id").alias("target_id")).agg(F.count("*").alias("shared"), F.sum("weight").alias("got"))
+    found = beside(posts, weights, few, "seq_id").groupBy("query_id", F.col("seq_id").alias("target_id")).agg(F.count("*").alias("shared"), F.sum("weight").alias("got"))
     score = F.when(F.col("total") > 0, F.col("got") / F.col("total")).otherwise(0.0)
     return found.join(total, "query_id").select("query_id", "target_id", "shared", F.round(score, 6).alias("score"))
 
@@ -104,7 +127,7 @@ def diagonals(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     """(query_id, target_id, diagonal, votes): equal k-mers by diagonal, query place less target place."""
     q = positions(queries, k).select(F.col("seq_id").alias("query_id"), F.col("pos").alias("q_pos"), "kmer")
     t = positions(targets, k).select(F.col("seq_id").alias("target_id"), F.col("pos").alias("t_pos"), "kmer")
-    return q.join(t, "kmer").groupBy("query_id", "target_id", (F.col("q_pos") - F.col("t_pos")).alias("diagonal")).agg(F.count("*").alias("votes"))
+    return beside(t, q, small(queries, k), "target_id").groupBy("query_id", "target_id", (F.col("q_pos") - F.col("t_pos")).alias("diagonal")).agg(F.count("*").alias("votes"))
 
 
 def best_diagonals(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
@@ -134,12 +157,19 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def best_run(rows: DataFrame, by: list[str], ord: str, value: str) -> DataFrame:
-    """The greatest sum of neighbouring values of each group (groups without a positive one are left out): prefix sum less the least before it."""
+    """The greatest sum of neighbouring values of each group, and its first place and the one behind its last.
+
+    Groups without a positive sum are left out. Of equal sums the one that ends first counts, and of its beginnings the earliest. It is a
+    prefix sum less the least one before it.
+    """
     w = Window.partitionBy(*by).orderBy(ord)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    p = rows.withColumn("p", F.sum(value).over(upto))
-    p = p.withColumn("low", F.least(F.lit(0), F.coalesce(F.min("p").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
-    return p.groupBy(*by).agg(F.max(F.col("p") - F.col("low")).alias("best")).where("best > 0")
+    p = rows.withColumn("p", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    none = F.struct((F.col("p") - F.col(value)).alias("p"), (F.col(ord) - 1).alias("o"))
+    first = F.first(none).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    before = F.min(F.struct("p", F.col(ord).alias("o"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    p = p.withColumn("low", F.least(first, F.coalesce(before, first)))
+    best = F.max(F.struct((F.col("p") - F.col("low.p")).alias("best"), (-F.col(ord)).alias("last"), (F.col("low.o") + 1).alias("start"))).alias("x")
+    return p.groupBy(*by).agg(best).where("x.best > 0").select(*by, "x.best", "x.start", (1 - F.col("x.last")).alias("end"))
 
 
 def similar_kmers(kmers: DataFrame, scores: DataFrame, k: int, threshold: int) -> DataFrame:

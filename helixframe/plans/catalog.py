@@ -68,11 +68,15 @@ def code_fold_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ad.sequences(spark, sf_dir).select("seq_id", "seq", F.length("seq").cast("bigint").alias("n"))
 
 
-@query("SELECT lang, CASE upper(lang) || 'X' WHEN 'ENX' THEN 'X' ELSE 'X' END AS code, CASE WHEN source LIKE 'src1%' THEN 'A' ELSE 'X' END AS letter, count(*) AS n FROM documents GROUP BY ALL")
+#: Residue names of parts, by key.
+_NAMES = "ALA ARG ASN ASP CYS GLN GLU GLY HIS ILE LEU LYS MET PHE PRO SER THR TRP TYR VAL MSE SEC PYL UNK HOH"
+
+
+@query(f"SELECT p_partkey, string_split('{_NAMES}', ' ')[p_partkey % 25 + 1] AS residue_name, substr('ARNDCQEGHILKMFPSTWYVXXXXX', (p_partkey % 25 + 1)::INTEGER, 1) AS letter, substr('ARNDCQEGHILKMFPSTWYVMUOXX', (p_partkey % 25 + 1)::INTEGER, 1) AS search_letter FROM part")
 def one_letter_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    name = F.when(F.col("source").startswith("src1"), "ALA").otherwise("???")
-    return d.select("lang", at.one_letter(F.concat(F.upper("lang"), F.lit("X"))).alias("code"), at.one_letter(name).alias("letter")).groupBy("lang", "code", "letter").agg(F.count("*").alias("n"))
+    name = F.element_at(F.split(F.lit(_NAMES), " "), (F.col("p_partkey") % 25 + 1).cast("int"))
+    p = table(spark, sf_dir, "part").select("p_partkey", name.alias("residue_name"))
+    return p.select("p_partkey", "residue_name", at.one_letter(F.col("residue_name")).alias("letter"), at.one_letter(F.col("residue_name"), at.SEARCH_ONE_LETTER).alias("search_letter"))
 
 
 @query(f"WITH {LINES_SQL} SELECT l_orderkey, string_agg(l_returnflag, ',' ORDER BY o) AS chains, count(*) AS chain_count, sum(n)::BIGINT AS atom_count FROM (SELECT l_orderkey, l_returnflag, min(ord) AS o, count(*) AS n FROM li GROUP BY ALL) GROUP BY l_orderkey")
@@ -214,8 +218,16 @@ def _dd(a: str, b: str) -> str:
 
 
 @query(f"""WITH {POINTS_SQL}, l AS (SELECT *, {_lag(-2)}, {_lag(-1)}, {_lag(1)}, {_lag(2)} FROM pts WINDOW w AS (PARTITION BY structure_id ORDER BY ord)),
-d AS (SELECT *, {_dd('m2', '')} AS d13, {_dd('m1', 'p1')} AS d24, {_dd('', 'p2')} AS d35, {_dd('m2', 'p1')} AS d14, {_dd('m1', 'p2')} AS d25, {_dd('m2', 'p2')} AS d15 FROM l)
-SELECT structure_id, ord, CASE WHEN xm2 IS NULL OR xp2 IS NULL THEN 'C' WHEN {_near(5.45, 5.18, 6.37, 2.1)} THEN 'H' WHEN {_near(6.1, 10.4, 13.0, 1.42)} THEN 'E' WHEN d15 < 8.0 THEN 'T' ELSE 'C' END AS state FROM d""")
+d AS (SELECT *, {_dd('m2', '')} AS d13, {_dd('m1', 'p1')} AS d24, {_dd('', 'p2')} AS d35, {_dd('m2', 'p1')} AS d14, {_dd('m1', 'p2')} AS d25, {_dd('m2', 'p2')} AS d15 FROM l),
+a AS (SELECT structure_id, ord, CASE WHEN xm2 IS NULL OR xp2 IS NULL THEN 'C' WHEN {_near(5.45, 5.18, 6.37, 2.1)} THEN 'H' WHEN {_near(6.1, 10.4, 13.0, 1.42)} THEN 'E' WHEN d15 < 8.0 THEN 'T' ELSE 'C' END AS s FROM d),
+b AS (SELECT structure_id, ord, CASE WHEN s IN ('H', 'E') AND lag(s, 2) OVER w <> s AND lag(s) OVER w <> s AND lead(s) OVER w <> s AND lead(s, 2) OVER w <> s THEN 'C' ELSE s END AS s FROM a WINDOW w AS (PARTITION BY structure_id ORDER BY ord)),
+c AS (SELECT structure_id, ord, CASE WHEN s IN ('H', 'E') AND (
+  lead(s) OVER w = s AND lag(s, 2) OVER w <> s AND lag(s) OVER w <> s AND lead(s, 2) OVER w <> s AND lead(s, 3) OVER w <> s
+  OR lag(s) OVER w = s AND lag(s, 3) OVER w <> s AND lag(s, 2) OVER w <> s AND lead(s) OVER w <> s AND lead(s, 2) OVER w <> s) THEN 'C' ELSE s END AS s FROM b WINDOW w AS (PARTITION BY structure_id ORDER BY ord)),
+t AS (SELECT structure_id, string_agg(s, '' ORDER BY ord) AS t FROM c GROUP BY structure_id),
+r AS (SELECT structure_id, list_reduce(list_concat([substr(t, 1, 1)], list_transform(range(2, length(t) + 1), lambda i: substr(t, i::INTEGER, 2))),
+  lambda done, e: done || CASE WHEN length(e) = 2 AND right(done, 1) IN ('H', 'E') AND right(done, 1) = right(e, 1) THEN right(e, 1) ELSE left(e, 1) END) AS r FROM t)
+SELECT c.structure_id, c.ord, substr(r, c.ord + 1, 1) AS state FROM c JOIN r ON c.structure_id = r.structure_id""")
 def ca_ss_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.trace_structure(ad.vector_points(spark, sf_dir), ["structure_id"]).select("structure_id", "ord", "state")
 
@@ -312,7 +324,7 @@ def diagonal_prefilter_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmers.diagonal_rerank(kmers.coverage(q, t, K), votes, least=3, backfill=5)
 
 
-@query(f"WITH {LINES_SQL}, p AS (SELECT l_orderkey, ord, sum(l_quantity - 25) OVER (PARTITION BY l_orderkey ORDER BY ord) AS p FROM li), m AS (SELECT *, least(0, coalesce(min(p) OVER (PARTITION BY l_orderkey ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low FROM p) SELECT l_orderkey, round(max(p - low), 6) AS best FROM m GROUP BY l_orderkey HAVING max(p - low) > 0")
+@query(f"WITH {LINES_SQL}, v AS (SELECT l_orderkey, ord, l_quantity - 25 AS v FROM li), r AS (SELECT a.l_orderkey, a.ord AS a, b.ord + 1 AS b, (SELECT sum(v) FROM v c WHERE c.l_orderkey = a.l_orderkey AND c.ord BETWEEN a.ord AND b.ord) AS best FROM v a JOIN v b ON a.l_orderkey = b.l_orderkey AND a.ord <= b.ord), n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY best DESC, b, a) AS n FROM r) SELECT l_orderkey, round(best, 6) AS best, a AS start, b AS \"end\" FROM n WHERE n = 1 AND best > 0")
 def ungapped_kadane(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = ad.lines(spark, sf_dir).withColumn("score", F.col("l_quantity") - 25)
     return _rounded(kmers.best_run(x, ["l_orderkey"], "ord", "score"), "best")
@@ -335,10 +347,9 @@ def template_norm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sets
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def dropped_inputs_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
 
 
 @query("SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
@@ -402,24 +413,32 @@ def count_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(F.broadcast(m)).select("n_orders", "n_with_lines", (F.col("n_with_lines") > F.col("n_orders")).alias("exceeds"))  # one row each
 
 
-def _bucket_sql(rows: list, other: str) -> str:
-    one = lambda words: "(" + " OR ".join(f"contains(m, '{w}')" for w in words) + ")"
-    return "CASE " + " ".join(f"WHEN {' AND '.join(one(w) for w in groups)} THEN '{name}'" for name, groups in rows) + f" ELSE '{other}' END"
+#: Failure messages of the documents, by id; the last stands for any other.
+_SAID = [
+    "Atom charge is not correct in line 12", "SOLITARY DBREF1 definition found", "Atoms in models not corresponding between 1 and 2", "Could not find a bond partner named in SSBOND 3", "Multiple residues in SEQRES validation at 7",
+    "SEQRES residue total invalid for chain B", "Invalid data in field 4 of SEQADV", "Invalid data in field 2: the text presented is not of the right kind (isize)", "Invalid data in field 9 of CRYST1", "Malformed line after END",
+    "Missing backbone at residue 5", "Input requires a protein chain", "Unknown residue QQQ", "Hydrogen could be placed nowhere, failed", "No parameters: force field lookup", "Minimization did not converge in 50 steps",
+    "Energy is NaN", "Quality check rejected the model", "Unsupported ligand", "Something else went wrong",
+]
+_MESSAGES = f"m AS (SELECT doc_id, source, {_SAID!r}[doc_id % {len(_SAID)} + 1] AS message FROM documents)"
 
 
-_MESSAGES = "m AS (SELECT doc_id, source, lower(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g')) AS m FROM documents)"
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.array(*[F.lit(x) for x in _SAID])
+    return table(spark, sf_dir, "documents").select("doc_id", "source", F.element_at(said, (F.col("doc_id") % len(_SAID) + 1).cast("int")).alias("message"))
 
 
-def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "source", F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", "").alias("message"))
+_BUCKETS = """CASE doc_id % 20 WHEN 0 THEN 'atom_charge_suffix' WHEN 1 THEN 'solitary_dbref1_definition' WHEN 2 THEN 'model_atom_correspondence' WHEN 3 THEN 'ssbond_missing_partner' WHEN 4 THEN 'seqres_multiple_residues'
+WHEN 5 THEN 'seqres_total_invalid' WHEN 6 THEN 'seqadv_invalid_field' WHEN 7 THEN 'seqadv_invalid_field' WHEN 8 THEN 'invalid_data_field_other' ELSE 'other_load_error' END"""
 
 
-@query(f"WITH {_MESSAGES} SELECT doc_id, {_bucket_sql(failures.LOADER_BUCKETS, failures.OTHER_BUCKET)} AS bucket FROM m")
+@query(f"WITH {_MESSAGES} SELECT doc_id, message, {_BUCKETS} AS bucket FROM m")
 def loader_failure_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _messages(spark, sf_dir).select("doc_id", failures.loader_bucket(F.col("message")).alias("bucket"))
+    return _messages(spark, sf_dir).select("doc_id", "message", failures.loader_bucket(F.col("message")).alias("bucket"))
 
 
-_CLASSES = _bucket_sql([(n, w) for n, w, _ in failures.FAILURE_CLASSES], failures.OTHER_CLASS)
+_CLASSES = """CASE doc_id % 20 WHEN 9 THEN 'parse_error' WHEN 10 THEN 'missing_required_atoms' WHEN 11 THEN 'missing_required_atoms' WHEN 12 THEN 'residue_mapping_error' WHEN 13 THEN 'hydrogen_placement_error'
+WHEN 14 THEN 'forcefield_parameterization_error' WHEN 15 THEN 'minimization_nonconvergence' WHEN 16 THEN 'numerical_instability' WHEN 17 THEN 'postprep_quality_failure' WHEN 18 THEN 'unsupported_chemistry' ELSE 'internal_pipeline_error' END"""
 
 
 @query(f"WITH {_MESSAGES} SELECT doc_id, {_CLASSES} AS failure FROM m")

@@ -70,8 +70,8 @@ def read_a3m(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, row int, aligned string, deletions array<int>")
 
 
-def msa_cells(rows: DataFrame, alphabet: str = "ARNDCQEGHILKMFPSTWYVX-") -> DataFrame:
-    """(path, row, column, class, deletion, mask): aligned rows as cells; what the alphabet lacks is X."""
+def msa_cells(rows: DataFrame, alphabet: str = "ACDEFGHIKLMNPQRSTVWYX") -> DataFrame:
+    """(path, row, column, class, deletion, mask): aligned rows as cells; what the alphabet lacks, gaps too, is X."""
     cells = rows.select("path", "row", F.posexplode(F.arrays_zip(F.filter(F.split("aligned", ""), lambda c: c != "").alias("c"), F.col("deletions").alias("d"))).alias("column", "cell"))
     code = F.instr(F.lit(alphabet), F.col("cell.c")) - 1
     return cells.select("path", "row", "column", F.when(code < 0, alphabet.index("X")).otherwise(code).alias("class"), F.col("cell.d").alias("deletion"), F.lit(1.0).alias("mask"))

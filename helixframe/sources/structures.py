@@ -111,7 +111,7 @@ def _cif_atom(row: dict[str, str], models: dict[str, int]) -> dict:
 
 
 #: Text repairs of PDB files that strict readers reject: (bucket, pattern of lines that go).
-REPAIRS = {"seqadv_invalid_field": r"^SEQADV", "solitary_dbref1": r"^DBREF[12]", "seqres_total_invalid": r"^(?:SEQRES|DBREF )", "seqres_multiple_residues": r"^(?:SEQRES|DBREF )", "ssbond_missing_partner": r"^SSBOND"}
+REPAIRS = {"seqadv_invalid_field": r"^SEQADV", "solitary_dbref1_definition": r"^DBREF[12]", "seqres_total_invalid": r"^(?:SEQRES|DBREF )", "seqres_multiple_residues": r"^(?:SEQRES|DBREF )", "ssbond_missing_partner": r"^SSBOND"}
 
 
 def repair(text: str, bucket: str) -> str:

@@ -51,7 +51,22 @@ def test_rerank(spark):
 def test_best_run(spark):
     rows = [("a", i, v) for i, v in enumerate([1, -3, 4, 2, -1])] + [("b", i, v) for i, v in enumerate([-1, -2])]
     df = spark.createDataFrame(rows, "g string, i int, v int")
-    assert {r.g: r.best for r in kmers.best_run(df, ["g"], "i", "v").collect()} == {"a": 6}
+    assert {r.g: (r.best, r.start, r.end) for r in kmers.best_run(df, ["g"], "i", "v").collect()} == {"a": (6, 2, 4)}
+    ties = spark.createDataFrame([("t", i, v) for i, v in enumerate([2, -2, 2, -3, 2])], "g string, i int, v int")
+    assert [tuple(r) for r in kmers.best_run(ties, ["g"], "i", "v").collect()] == [("t", 2, 0, 1)]
+    kept = spark.createDataFrame([("k", i, v) for i, v in enumerate([-1, 1, -1, 3])], "g string, i int, v int")
+    assert [tuple(r) for r in kmers.best_run(kept, ["g"], "i", "v").collect()] == [("k", 3, 1, 4)]
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 0])
+def test_few_and_many_queries_agree(spark, rows, monkeypatch):
+    """Queries too many to be sent to every task are dealt by salt, with the same result."""
+    monkeypatch.setattr(kmers, "BROADCAST_ROWS", rows)
+    t = seqs(spark, [(1, "ABCDAB"), (2, "ABXX"), (3, "QQQQ"), (4, "ABAB")])
+    q = seqs(spark, [(9, "ABCD"), (8, "ABAB")])
+    assert {(r.query_id, r.target_id): r.shared for r in kmers.shared_kmers(q, t, 2).collect()} == {(9, 1): 3, (9, 2): 1, (9, 4): 1, (8, 1): 1, (8, 2): 1, (8, 4): 2}
+    assert {(r.query_id, r.target_id, r.diagonal): r.votes for r in kmers.diagonals(q, t, 3).collect()} == {(9, 1, 0): 2, (8, 4, 0): 2}
+    assert kmers.coverage(q, t, 2).count() == 6
 
 
 def test_similar_kmers(spark):

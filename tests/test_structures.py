@@ -1,6 +1,7 @@
 """Readers, hierarchy, selection and chain windows on small hand-written structures."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -163,7 +164,7 @@ def test_sequences(spark, tmp_path):
             sequences.parse_a3m(bad)
     (tmp_path / "m.a3m").write_text(">q\nACD\n>h\nAacC-e\n")
     cells = sequences.msa_cells(sequences.read_a3m(spark, f"{tmp_path}/m.a3m")).orderBy("row", "column").collect()
-    assert [(c["class"], c.deletion) for c in cells] == [(0, 0), (4, 0), (3, 0), (0, 0), (4, 2), (21, 0)]
+    assert [(c["class"], c.deletion) for c in cells] == [(0, 0), (1, 0), (2, 0), (0, 0), (1, 2), (20, 0)]
     assert sequences.parse_matrix("# c\n  A B\nA 4 -1\nB -1 5\n")["A", "B"] == -1
     assert sequences.integer_matrix({("A", "A"): 100.0}, 2.0) == {("A", "A"): 127}
     assert structures.repair("SEQADV x\nATOM y", "seqadv_invalid_field") == "ATOM y"
@@ -178,3 +179,30 @@ def test_hydrogens_and_bonds(spark, table):
     rows = a.collect()
     want = sum(p.element in "NO" and q.element in ("O", "S") and p.residue_ord != q.residue_ord and math.dist((p.x, p.y, p.z), (q.x, q.y, q.z)) < 3.5 for p in rows for q in rows)
     assert points.geometric_hbonds(a).count() == want
+
+
+def test_smoothing(spark):
+    """Against the passes in order on each chain, position by position."""
+    r = random.Random(3)
+    texts = ["HHHH", "CCHCC", "CCHHCC", "CHHCC", "HCHCC", "HEHEH", "EHEHEHEHCC", "CCEECCHHHCHHECECC", *["".join(r.choice("HHECT") for _ in range(r.randint(1, 24))) for _ in range(150)]]
+
+    def plain(text):
+        s, n = list(text), len(text)
+        if n < 5:
+            return text
+        far = lambda i, *steps: all(s[i + d] != s[i] for d in steps)
+        for i in range(2, n - 2):
+            if s[i] in "HE" and far(i, -2, -1, 1, 2):
+                s[i] = "C"
+        for i in range(2, n - 3):
+            if s[i] in "HE" and s[i] == s[i + 1] and far(i, -2, -1, 2, 3):
+                s[i] = s[i + 1] = "C"
+        for i in range(1, n - 1):
+            if s[i - 1] in "HE" and s[i - 1] == s[i + 1]:
+                s[i] = s[i - 1]
+        return "".join(s)
+
+    rows = [(k, i, c) for k, t in enumerate(texts) for i, c in enumerate(t)]
+    got = chains.smoothed(spark.createDataFrame(rows, "structure_id int, ord int, state string"), ["structure_id"])
+    joined = got.groupBy("structure_id").agg(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("ord", "state"))), lambda x: x.state)).alias("t"))
+    assert {x.structure_id: x.t for x in joined.collect()} == {k: plain(t) for k, t in enumerate(texts)}

@@ -11,7 +11,8 @@ from tests.test_structures import small_pdb
 
 
 def test_tables():
-    assert len(s.ATOM37) == 37 and all(len(x) <= 14 for x in s._ATOM14.values()) and s.AATYPE["ALA"] == 0 and s.AATYPE["VAL"] == 19
+    assert len(s.ATOM37) == 37 and all(len(x) <= 14 for x in s._ATOM14.values()) and s.AATYPE["ALA"] == 0 and s.AATYPE["VAL"] == 17
+    assert [s.AATYPE[x] for x in ("CYS", "GLY", "LYS", "ARG", "TYR")] == [1, 5, 8, 14, 19] and s._ATOM14["UNK"] == [] and len(s._ATOM14) == 21
     assert s._CHI["LYS"][3] == ["CG", "CD", "CE", "NZ"] and s._CHI["SER"] == [["N", "CA", "CB", "OG"]]
 
 
