@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import atoms as at
-from ..operators import chains, failures, kernels, kmers, points, releases, selection
+from ..operators import chains, engine, failures, kernels, kmers, points, releases, selection
 from ..streaming import ingest
 from . import adapters as ad
 from .adapters import LINES_SQL, ORDERS_SQL, POINTS_SQL, QUERIES_SQL, TARGETS_SQL, kmers_sql, table
@@ -503,3 +503,83 @@ def smith_waterman_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = kernels.align_hits(dealt, votes=True)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("votes"), "target_id")
     return found.select("query_id", "target_id", F.row_number().over(w).alias("rank"), "votes", "score", "query_start", "target_start", "cigar")
+
+
+# Sequence engine
+
+_LETTERS = engine.PROTEIN
+_SHORT = f"""n AS (SELECT n_nationkey AS query_id, regexp_replace(upper(n_name), '[^{_LETTERS}]', 'X', 'g') AS q FROM nation), r AS (SELECT s_suppkey AS target_id, regexp_replace(upper(s_name), '[^{_LETTERS}]', 'X', 'g') AS t FROM supplier)"""
+
+
+def _short_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of nations beside those of their suppliers, as short sequences."""
+    fold = lambda c: F.regexp_replace(F.upper(c), f"[^{_LETTERS}]", "X")
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("query_id"), "n_nationkey", fold("n_name").alias("query_seq"))
+    r = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("target_id"), "s_nationkey", fold("s_name").alias("target_seq"))
+    return n.join(r, n.n_nationkey == r.s_nationkey).select("query_id", "target_id", "query_seq", "target_seq")
+
+
+@query(f"WITH {_SHORT} SELECT query_id::BIGINT AS seq_id, (i - 1)::INTEGER AS pos, l.letter, CASE WHEN substr(q, i::INTEGER, 1) = l.letter THEN 5.0::DOUBLE ELSE -4.0::DOUBLE END AS score FROM n, (SELECT unnest(string_split('{_LETTERS}', '')) AS letter) l, range(1, 30) t(i) WHERE i <= length(q)")
+def position_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("seq_id"), F.regexp_replace(F.upper("n_name"), f"[^{_LETTERS}]", "X").alias("seq"))
+    return engine.position_scores(q, engine.score_rows(spark, engine.simple_scores()))
+
+
+@query(f"""WITH {_SHORT}, p AS (SELECT query_id::BIGINT AS query_id, target_id, q, t FROM n JOIN supplier ON s_nationkey = query_id JOIN r ON target_id = s_suppkey),
+c AS (SELECT query_id, target_id, i, j, CASE WHEN substr(q, i::INTEGER, 1) = substr(t, j::INTEGER, 1) THEN 5.0::DOUBLE ELSE -4.0::DOUBLE END AS s FROM p, range(1, 60) a(i), range(1, 60) b(j) WHERE i <= length(q) AND j <= length(t)),
+u AS (SELECT *, sum(s) OVER (PARTITION BY query_id, target_id, i - j ORDER BY i) AS u FROM c),
+m AS (SELECT *, u - least(0, coalesce(min(u) OVER (PARTITION BY query_id, target_id, i - j ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS run FROM u)
+SELECT p.query_id, p.target_id, greatest(0, max(run)) AS best, round(greatest(0, max(run)) / greatest(any_value(length(q)), any_value(length(t))), 6) AS rescored FROM p JOIN m ON m.query_id = p.query_id AND m.target_id = p.target_id GROUP BY p.query_id, p.target_id""")
+def diagonal_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(engine.rescore(_short_pairs(spark, sf_dir), engine.simple_scores()), "rescored")
+
+
+#: Classes of the protein letters by a rule: every third letter together, the unknown one alone.
+_CLASSES_OF = [i % 3 for i in range(len(_LETTERS) - 1)] + [3]
+
+
+@query(f"WITH {TARGETS_SQL} SELECT seq_id, translate(seq, '{_LETTERS}', '{''.join('ACDX'[c] for c in _CLASSES_OF)}') AS seq FROM t")
+def reduced_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ad.sequences(spark, sf_dir).select("seq_id", engine.reduced(F.col("seq"), _CLASSES_OF).alias("seq"))
+
+
+@query(f"WITH {QUERIES_SQL} SELECT DISTINCT k, kmer, seq_id FROM (SELECT 5 AS k, kmer, seq_id FROM ({kmers_sql('q', 5)}) UNION ALL SELECT 8, kmer, seq_id FROM ({kmers_sql('q', 8)}))")
+def multi_length_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine.kmers_of_lengths(ad.query_sequences(spark, sf_dir), [8, 5, 5])
+
+
+@query("SELECT vec_id, CASE WHEN phi > -160 AND phi < -20 AND psi > -80 AND psi < 0 THEN 'alpha_R' WHEN phi >= -180 AND phi < -20 AND (psi > 50 AND psi <= 180 OR psi >= -180 AND psi < -100) THEN 'beta' WHEN phi > 0 AND phi < 120 AND psi > -60 AND psi < 60 THEN 'alpha_L' ELSE 'other' END AS region FROM (SELECT vec_id, embedding[1]::DOUBLE * 600 AS phi, embedding[2]::DOUBLE * 600 AS psi FROM embeddings)")
+def ramachandran_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("embedding")[0].cast("double") * 600).alias("phi"), (F.col("embedding")[1].cast("double") * 600).alias("psi"))
+    return e.select("vec_id", engine.ramachandran(F.col("phi"), F.col("psi")).alias("region"))
+
+
+@query("SELECT l_orderkey, CASE WHEN max(l_discount) > 0 THEN round((max(l_discount) - min(l_discount)) / max(l_discount), 6) ELSE 0 END AS degree FROM lineitem GROUP BY l_orderkey")
+def heteromer_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(engine.heteromer_degree(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_discount"), "degree")
+
+
+@query("SELECT doc_id, string_agg(CASE WHEN c BETWEEN 'a' AND 'm' THEN c END, '' ORDER BY i) AS kept FROM (SELECT doc_id, i, substr(lang || source, i::INTEGER, 1) AS c FROM documents, range(1, 40) t(i) WHERE i <= length(lang || source)) GROUP BY doc_id")
+def masked_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("lang", "source").alias("s"))
+    mask = F.transform(F.filter(F.split("s", ""), lambda c: c != ""), lambda c: c.between("a", "m"))
+    out = engine.masked(F.col("s"), mask)
+    return d.select("doc_id", F.when(out != "", out).alias("kept"))
+
+
+@query()
+def msa_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of suppliers aligned to those of their nations, as rows in the nation's frame."""
+    pairs = _short_pairs(spark, sf_dir)
+    found = engine.matrix_alignments(pairs, engine.simple_scores()).where("score > 0").join(pairs.select("query_id", "target_id", "target_seq"), ["query_id", "target_id"])
+    own = pairs.select(F.col("query_id").alias("seq_id"), F.col("query_seq").alias("seq")).distinct()
+    return engine.assemble(own, found)
+
+
+@query("SELECT o_orderpriority AS split, count(*) AS n, min(length(o_orderstatus || o_orderpriority))::DOUBLE AS min_length, max(length(o_orderstatus || o_orderpriority))::DOUBLE AS max_length FROM orders GROUP BY o_orderpriority")
+def corpus_manifest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split counts of a release's manifest, with the lengths of each split's rows."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("split"), F.length(F.concat("o_orderstatus", "o_orderpriority")).alias("length"))
+    splits = releases.corpus_manifest("r", training=rows)["split_counts"]
+    counts = spark.createDataFrame(list(splits.items()), "split string, n bigint")
+    return counts.join(rows.groupBy("split").agg(F.min("length").cast("double").alias("min_length"), F.max("length").cast("double").alias("max_length")), "split")

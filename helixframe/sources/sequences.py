@@ -93,3 +93,25 @@ def load_failures(spark: SparkSession, path: str) -> DataFrame:
     """(pdb, exception) of a failure log's load errors."""
     rows = spark.read.schema("pdb string, path string, status string, exception string").json(path)
     return rows.where("status = 'load_error' and exception is not null").select(F.coalesce("pdb", "path", F.lit("unknown")).alias("pdb"), "exception")
+
+
+def read_alignment(spark: SparkSession, path: str) -> DataFrame:
+    """(path, first, second): the first two sequences of each alignment file, gaps as -; they must be two, and equally long."""
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
+    lines = F.filter(F.transform(F.split("value", "\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
+    parts = F.split(F.array_join(F.transform(lines, lambda x: F.when(x.startswith(">"), ">").otherwise(x)), ""), ">")
+    rows = text.select("path", F.filter(parts, lambda x: x != "").alias("s"))
+    checked = F.when(F.size("s") < 2, F.raise_error(F.lit("an alignment needs two sequences"))).when(F.length(F.col("s")[0]) != F.length(F.col("s")[1]), F.raise_error(F.lit("aligned sequences differ in length")))
+    return rows.select("path", F.coalesce(checked.cast("string"), F.col("s")[0]).alias("first"), F.col("s")[1].alias("second"))
+
+
+def read_chain_list(spark: SparkSession, path: str, folder: str = "", suffix: str = "") -> DataFrame:
+    """(path): folder, entry and suffix of each line that isn't empty."""
+    entry = F.trim("value")
+    return spark.read.text(path).where(entry != "").select(F.concat(F.lit(folder), entry, F.lit(suffix)).alias("path"))
+
+
+def file_list(spark: SparkSession, path: str, pattern: str, most: int | None = None) -> DataFrame:
+    """Paths of the files of a folder in order, the first most of them."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path").orderBy("path")
+    return found if most is None else found.limit(most)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..operators.atoms import ONE_LETTER
 from ..schemas import READ, names
 
 BACKBONE = frozenset(("N", "CA", "C", "O"))
@@ -181,3 +182,49 @@ def with_options(table: DataFrame, chain: str | None = None, hetero: bool = True
     if not hetero:
         out = out.where("not is_hetero")
     return out.withColumn("z", -F.col("z")) if mirror else out
+
+
+def parse_points(text: str, named: bool) -> list[tuple[str, float, float, float]]:
+    """(letter, x, y, z) of a file of a number, with names a line of description, and so many lines of coordinates (named: after a name)."""
+    lines = text.splitlines()
+    try:
+        n = int(lines[0].strip()) if lines else 0
+    except ValueError:
+        n = 0
+    if n <= 0:
+        raise ParseError("invalid count of points")
+    out = []
+    for i in range(n):
+        at = i + 1 + named
+        parts = lines[at].split() if at < len(lines) else []
+        if len(parts) < 3 + named:
+            raise ParseError(f"invalid line of coordinates: {i + 1}")
+        letter = "A" if not named else ONE_LETTER.get(parts[0].upper(), "X") if len(parts[0]) == 3 else parts[0][0]
+        try:
+            out.append((letter, *map(float, parts[named : 3 + named])))
+        except ValueError as e:
+            raise ParseError(f"invalid line of coordinates: {e}") from None
+    return out
+
+
+def read_points(spark: SparkSession, path: str, named: bool = True) -> DataFrame:
+    """(path, ord, letter, x, y, z) of XYZ files, or of traces without names (named=False)."""
+
+    def run(batches):
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = parse_points(data.decode("utf-8", "replace"), named)
+                letters, x, y, z = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array(range(len(rows)), pa.int32()), pa.array(letters), *[pa.array(c, pa.float64()) for c in (x, y, z)]], names=["path", "ord", "letter", "x", "y", "z"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, ord int, letter string, x double, y double, z double")
+
+
+def to_pandas(atoms: DataFrame, structure_id: str):
+    """One structure's atoms as a pandas table, in order."""
+    return atoms.where(F.col("structure_id") == structure_id).orderBy("atom_ord").toPandas()
+
+
+def to_arrow(atoms: DataFrame, structure_id: str):
+    """One structure's atoms as an Arrow table, in order."""
+    return atoms.where(F.col("structure_id") == structure_id).orderBy("atom_ord").toArrow()
