@@ -2,8 +2,10 @@
 
 Two sets of sizes n and m that reach p/q share p/q of the larger one, so in any order of all shingles they share one of the first
 n - ceil(p n / q) + 1 of each (prefix filter). The order is that of the hashes, with shingles that over HOT sets have in their prefix
-put last, so that a common line brings no texts together. Pairs that share a prefix shingle are first neighbours by size; of the
-rest only pairs that are in different components by then, so that a large group of near copies isn't compared in full.
+put last, so that a common line brings no texts together. First each set is compared with two others behind it among those with the
+same prefix shingle, in an order by chance that each shingle has for itself, which brings a group of near copies together; then
+only pairs that are in different components by then. Shingles that over HOT sets still have in their prefix are dealt in
+blocks, within and between which a kernel compares sketches and emits no more than the pairs that are close.
 
 A pair is compared by parity sketches before its sets are: bit i of a sketch is the parity of the shingles whose hash ends in i, so
 two sketches differ in no more bits than the sets differ in shingles. Only pairs within the allowed difference have their sets read.
@@ -29,6 +31,8 @@ from .repeats import BLOCK, mixed, powers
 
 #: Sets with a shingle in their prefix from which on it is put last.
 HOT = 64
+#: Sets of a block of a hot shingle; words of sketches that a kernel compares at once.
+BLOCK_SETS, AT_ONCE = 4096, 1 << 21
 #: Such shingles up to which every worker gets their list (8 bytes each); of more, each set gets its own by a join.
 LISTED = 1 << 20
 
@@ -82,8 +86,8 @@ def prefix(tokens: np.ndarray, least: tuple[int, int], hot: np.ndarray) -> np.nd
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """Parities of the shingles by the low bits of their hashes, with half a bit for each shingle and a power of two of at least 64 in all."""
-    width = max(64, 1 << max(0, (len(tokens) // 2 - 1).bit_length()))
+    """Parities of the shingles by the low bits of their hashes, with two to four bits for each shingle and a power of two of at least 64 in all."""
+    width = max(64, 1 << (2 * len(tokens) - 1).bit_length())
     odd = np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -126,19 +130,92 @@ def _sets(words: int, least: tuple[int, int], hot: np.ndarray, what: str):
     return run
 
 
+def _allowed(n, m, least: tuple[int, int]):
+    """How many shingles two sets that reach the coefficient may differ in."""
+    p, q = least
+    return n + m - 2 * -(-p * (n + m) // (p + q))
+
+
 def _close(least: tuple[int, int]):
     """Pairs whose sketches differ in no more bits than their sets may differ in shingles."""
-    p, q = least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, n, m, x, y = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "b", "n_a", "n_b", "x_a", "x_b"))
-            left = [sketches_differ(u, v) <= s + t - 2 * -(-p * (s + t) // (p + q)) for s, t, u, v in zip(n, m, x, y, strict=True)]
+            left = [sketches_differ(u, v) <= _allowed(s, t, least) for s, t, u, v in zip(n, m, x, y, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(left, pa.bool_()))
 
     return run
 
 
+def close_pairs(n: np.ndarray, root: np.ndarray, sketches: list[bytes], side: np.ndarray, least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of pairs of different roots whose sketches are close: of side 0 with side 1, or if there is but one side within it.
+
+    Sets that can reach the coefficient have sketches of one width, or one of twice the other's, which is folded.
+    """
+    width = np.array([len(x) for x in sketches])
+    one = not side.any()
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    rows = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
+    planes = {w: np.frombuffer(b"".join([sketches[i] for i in at]), "<u8").reshape(len(at), -1) for w, at in rows.items()}
+    for w, at in rows.items():
+        for v in (w, w // 2):
+            if v not in rows:
+                continue
+            other, y = rows[v], planes[v]
+            x = planes[w] if v == w else planes[w][:, : v // 8] ^ planes[w][:, v // 8 :]
+            step = max(1, AT_ONCE // max(1, y.size))
+            for k in range(0, len(at), step):
+                mine = at[k : k + step]
+                bits = np.zeros((len(mine), len(other)), np.int32)
+                for c in range(x.shape[1]):
+                    bits += np.bitwise_count(x[k : k + step, c, None] ^ y[None, :, c])
+                good = (bits <= _allowed(n[mine][:, None], n[other][None], least)) & (root[mine][:, None] != root[other][None])
+                if v == w:
+                    good &= mine[:, None] < other[None]
+                if not one:
+                    good &= side[mine][:, None] != side[other][None]
+                i, j = np.nonzero(good)
+                found.append((mine[i], other[j]))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
+def _blocks(least: tuple[int, int]):
+    """Rows sorted by shingle and pair of blocks -> close pairs of each, in order of their ids."""
+
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        _, low, high, sid, n, root, x, block = zip(*rows, strict=True)
+        ids = np.array(sid, np.int64)
+        i, j = close_pairs(np.array(n, np.int64), np.array(root, np.int64), list(x), np.array(block) != low[0], least)
+        a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        keep = a != b
+        return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if group and group[0][:3] != row[:3]:
+                    yield solve(group)
+                    group = []
+                group.append(row)
+        if group:
+            yield solve(group)
+
+    return run
+
+
+def _hot_pairs(open_: DataFrame, heads: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Close pairs (a, b) among the sets of each hot shingle: its sets in blocks of about BLOCK_SETS, each pair of blocks a unit of work."""
+    parts = F.ceil(F.col("many") / BLOCK_SETS).cast("int")
+    rows = open_.where(F.col("many") > HOT).join(heads.select("sid", "x"), "sid").withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.expr("sequence(0, parts - 1)")))
+    rows = rows.select("token", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "sid", "n", "root", "x", "block")
+    return rows.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(_blocks(least), "a bigint, b bigint")
+
+
 def links(docs: DataFrame, row: Column, marked: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
     """Edges (a, b) of fingerprints and set ids that span the components of all links. marked: row and fp; row: the mark of a row of docs."""
     schema = "row bigint, sid bigint, n int, tokens array<bigint>, sketch binary"
@@ -172,7 +249,7 @@ def links(docs: DataFrame, row: Column, marked: DataFrame, words: int, least: tu
     heads = kept(every.where("sketch is not null").groupBy("sid").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("sketch").alias("x")), "set-heads")
     # One exchange by shingle serves the removal of copies, the counts and the neighbours.
     posts = every.select("sid", "n", F.posexplode("tokens").alias("pos", "token")).repartition("token").dropDuplicates(["token", "sid"])
-    shared = kept(posts.withColumn("many", F.count("*").over(Window.partitionBy("token"))).where("many > 1").drop("many"), "postings")
+    shared = kept(posts.withColumn("many", F.count("*").over(Window.partitionBy("token"))).where("many > 1"), "postings")
     drop("prefixes")
 
     def near(n: str, i: str, m: str, j: str) -> Column:
@@ -194,20 +271,22 @@ def links(docs: DataFrame, row: Column, marked: DataFrame, words: int, least: tu
         drop(f"{name}-close", f"{name}-sets")
         return out
 
-    by = Window.partitionBy("token").orderBy("n", "sid")
-    before = lambda c: F.lag(c).over(by)
-    chain = shared.select(F.col("sid").alias("b"), "n", "pos", before("sid").alias("a"), before("n").alias("m"), before("pos").alias("i"))
+    by = Window.partitionBy("token").orderBy(F.xxhash64("token", "sid"), "sid")
+    behind = F.array(*[F.struct(F.lag("sid", k).over(by).alias("a"), F.lag("n", k).over(by).alias("m"), F.lag("pos", k).over(by).alias("i")) for k in (1, 2)])
+    chain = shared.select(F.col("sid").alias("b"), "n", "pos", behind.alias("behind")).select("b", "n", "pos", F.inline("behind"))
     chain = chain.where(F.col("a").isNotNull() & near("m", "i", "n", "pos")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     chain = kept(chain.distinct(), "neighbours")
     first = verified(chain, "first")
     roots = kept(components(first).select(F.col("a").alias("sid"), F.col("b").alias("root")), "set-roots")
     every_root = Window.partitionBy("token")
-    rooted = shared.join(roots, "sid", "left").select("token", "sid", "n", "pos", F.coalesce("root", "sid").alias("root"))
+    rooted = shared.join(roots, "sid", "left").select("token", "many", "sid", "n", "pos", F.coalesce("root", "sid").alias("root"))
     open_ = kept(rooted.withColumns({"low": F.min("root").over(every_root), "high": F.max("root").over(every_root)}).where("low <> high").drop("low", "high"), "open")
     drop("postings")
-    other = open_.select("token", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("pos").alias("i"), F.col("root").alias("other"))
-    pairs = open_.withColumnRenamed("sid", "a").join(other, "token").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("other")) & near("n", "pos", "m", "i"))
-    pairs = kept(pairs.select("a", "b").distinct().join(chain, ["a", "b"], "left_anti"), "pairs")
+    few = open_.where(F.col("many") <= HOT)
+    other = few.select("token", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("pos").alias("i"), F.col("root").alias("other"))
+    pairs = few.withColumnRenamed("sid", "a").join(other, "token").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("other")) & near("n", "pos", "m", "i"))
+    pairs = pairs.select("a", "b").union(_hot_pairs(open_, heads, least))
+    pairs = kept(pairs.distinct().join(chain, ["a", "b"], "left_anti"), "pairs")
     drop("open", "neighbours")
     linked = first.union(verified(pairs, "second"))
     ends = linked.select(F.col("a").alias("sid")).union(linked.select(F.col("b").alias("sid"))).distinct()

@@ -38,6 +38,7 @@ def components_of(texts):
 def test_near_copies_go(spark, hot, listed, monkeypatch):
     monkeypatch.setattr(jaccard, "HOT", hot)
     monkeypatch.setattr(jaccard, "LISTED", listed)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 4 * hot)
     r = random.Random(3)
     word = lambda: f"w{r.randrange(3000)}"
     line = " ".join(word() for _ in range(12))
@@ -74,3 +75,25 @@ def test_shingles_of_short_texts_differ():
     sizes = [len(jaccard.shingle_set(t, 5)) for t in texts]
     assert sizes == [0, 0, 1, 1, 1, 1, 1, 1, 2]
     assert len({int(jaccard.shingle_set(t, 5)[0]) for t in texts[2:8]}) == 6
+
+
+def test_close_pairs_equal_single_comparisons():
+    r = random.Random(6)
+    sets = []
+    for _ in range(12):
+        base = [r.getrandbits(64) for _ in range(r.choice([4, 90, 140, 300, 520]))]
+        for _ in range(r.randint(1, 9)):
+            sets.append(np.unique(np.array([x if r.random() > 0.06 else r.getrandbits(64) for x in base], np.uint64)))
+    n, roots, marks = np.array([len(x) for x in sets]), np.array([r.randrange(30) for _ in sets]), [jaccard.sketch(x) for x in sets]
+    for sides in ([0] * len(sets), [r.randrange(2) for _ in sets]):
+        i, j = jaccard.close_pairs(n, roots, marks, np.array(sides) != 0, (4, 5))
+        got = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())}
+        assert len(got) == len(i)
+        for a in range(len(sets)):
+            for b in range(a + 1, len(sets)):
+                asked = roots[a] != roots[b] and (not any(sides) or sides[a] != sides[b])
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if asked and 9 * both >= 4 * (n[a] + n[b]):
+                    assert (a, b) in got
+                elif (a, b) in got:
+                    assert asked and jaccard.sketches_differ(marks[a], marks[b]) <= jaccard._allowed(n[a], n[b], (4, 5))
