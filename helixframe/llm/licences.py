@@ -8,8 +8,8 @@ With inside, notices that are only a part of a line or paragraph, or run over th
 the whole text, whose best for each template is taken first. A window counts unless it lies in a line or paragraph that has matched or
 meets one that matched the same template; of windows that meet, that with more common bigrams counts.
 
-Defined cases: null and empty texts match nothing; a passage of one word has no bigram and matches nothing; ties go to the
-first name; null doc_ids, repeated rows and empty tables are kept as they are; other columns are not read.
+Defined cases: null and empty texts match nothing; a passage of one word has no bigram and matches nothing; texts are read whole,
+whatever their length; ties go to the first name; null doc_ids, repeated rows and empty tables are kept as they are; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import narrow, texts_of
+from .licence_texts import TEXTS
 
 THRESHOLD = 0.8
 
-#: Short notices of public licences, and the standard headers or grants of some.
+#: Short notices of public licences, the standard headers or grants of some, and whole texts.
 TEMPLATES = {
     "AGPL-3.0": "This program is licensed under the GNU Affero General Public License, version 3.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -42,6 +43,7 @@ TEMPLATES = {
     "MIT-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    **TEXTS,
 }
 
 _LOWER = {c: c + 32 for c in range(65, 91)}

@@ -4,6 +4,7 @@ import random
 import re
 
 from helixframe.llm import licences
+from helixframe.llm.licence_texts import TEXTS
 
 
 def plain(text, templates, threshold):
@@ -78,3 +79,25 @@ def test_notices_inside_longer_passages():
         want = {n: b for n, t in licences.TEMPLATES.items() if (b := best_inside(words, t)) >= 0.8}
         got = scanner.text(" ".join(words), True)
         assert bool(got) == bool(want) and all(abs(want[n] - s) < 1e-12 for s, n in got[:1])
+
+
+def test_whole_licences_of_several_paragraphs(spark):
+    """A licence of several paragraphs, broken into lines, with a line of copyright and a few changes, is one match of its text."""
+    scanner = licences.Scanner(licences.TEMPLATES, licences.THRESHOLD)
+    r = random.Random(7)
+    for name, text in TEXTS.items():
+        words = text.replace(". ", ".\n\n").split(" ")
+        lines = "\n".join(" ".join(words[i : i + 12]) for i in range(0, len(words), 12))
+        for _ in range(3):
+            k = r.randrange(len(lines))
+            lines = lines[:k] + "x" + lines[k:]
+        file = f"Some project\n\nCopyright (c) 2020 Somebody\n\n{lines}\n\n" + "\n".join(f"int v{i} = f{i}(a, b);" for i in range(40))
+        got = scanner.text(file, True)
+        assert name in {n for _, n in got} and max((s, n) for s, n in got if n.endswith(("text", "notice")))[1] == name, name
+    df = spark.createDataFrame([(1, "word " * 300_000 + TEXTS["MIT-text"], "x")], "doc_id long, text string, licences string")
+    assert licences.scan(df, inside=True).first().licences == "MIT-text"
+
+
+def test_ties_go_to_the_first_name():
+    scanner = licences.Scanner({"b": "some words of a licence", "a": "some words of a licence"}, 0.8)
+    assert scanner.text("Some words of a licence") == [(1.0, "a")]
