@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..operators import atoms as at
 from ..operators import chains, engine, failures, kernels, kmers, points, releases, selection
+from ..sources import sinks, structures
 from ..streaming import ingest
 from . import adapters as ad
 from .adapters import LINES_SQL, ORDERS_SQL, POINTS_SQL, QUERIES_SQL, TARGETS_SQL, kmers_sql, table
@@ -583,3 +584,94 @@ def corpus_manifest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     splits = releases.corpus_manifest("r", training=rows)["split_counts"]
     counts = spark.createDataFrame(list(splits.items()), "split string, n bigint")
     return counts.join(rows.groupBy("split").agg(F.min("length").cast("double").alias("min_length"), F.max("length").cast("double").alias("max_length")), "split")
+
+
+# Structures as files and residues
+
+
+def _atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as structures of 21 atoms of seven residues, in the columns of the atom table."""
+    p = ad.vector_points(spark, sf_dir)
+    element = F.element_at(F.array(*[F.lit(e) for e in "NOSCH"]), (F.col("ord") % 5 + 1).cast("int"))
+    return p.select(
+        F.col("structure_id").cast("string").alias("structure_id"), F.lit(0).alias("model"), F.lit("A").alias("chain_id"), F.when(F.floor(F.col("ord") / 3) % 2 == 0, "GLY").otherwise("ALA").alias("residue_name"),
+        (F.floor(F.col("ord") / 3) + 1).cast("int").alias("residue_serial"), F.lit(None).cast("string").alias("insertion_code"), F.lit(None).cast("string").alias("conformer_id"), element.alias("atom_name"), (F.col("ord") + 1).alias("atom_serial"),
+        element.alias("element"), "x", "y", "z", F.lit(1.0).alias("occupancy"), F.lit(20.0).alias("b_factor"), F.lit(False).alias("is_hetero"), F.col("ord").cast("bigint").alias("atom_ord"), F.col("ord"), F.floor(F.col("ord") / 3).cast("int").alias("residue_ord"),
+    )
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): the structures as PDB files; every seventh is cut inside its first line."""
+    lines = sinks.pdb_lines(_atoms(spark, sf_dir)).groupBy("structure_id").agg(F.sort_array(F.collect_list(F.struct("atom_ord", "line"))).alias("l"))
+    text = F.array_join(F.transform("l", lambda x: x.line), "\n")
+    text = F.when(F.col("structure_id").cast("bigint") % 7 == 0, F.substring(text, 1, 40)).otherwise(text)
+    return lines.select(F.concat("structure_id", F.lit(".pdb")).alias("path"), F.encode(text, "UTF-8").alias("content"))
+
+
+@query(f"WITH {POINTS_SQL} SELECT structure_id::VARCHAR AS structure_id, ord::BIGINT AS atom_ord, CASE WHEN ord // 3 % 2 = 0 THEN 'GLY' ELSE 'ALA' END AS residue_name, (ord // 3 + 1)::BIGINT AS residue_serial, substr('NOSCH', ord % 5 + 1, 1) AS element, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y, round(z, 3) + 0.0 AS z FROM pts WHERE structure_id % 7 <> 0")
+def pdb_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Atoms written as PDB lines and read again; files that can't be read are left out."""
+    a = structures.atoms(structures.parsed(_files(spark, sf_dir)))
+    return a.select("structure_id", F.col("atom_ord").cast("bigint").alias("atom_ord"), "residue_name", F.col("residue_serial").cast("bigint").alias("residue_serial"), "element", *[(F.col(c).cast("double") + 0.0).alias(c) for c in "xyz"])
+
+
+@query("SELECT vec_id::VARCHAR || '.pdb' AS path, true AS has_error FROM embeddings WHERE vec_id % 7 = 0")
+def unreadable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structures.failures(structures.parsed(_files(spark, sf_dir))).select("path", (F.length("error") > 0).alias("has_error"))
+
+
+@query(f"WITH {POINTS_SQL} SELECT structure_id::VARCHAR AS structure_id, count(*) AS n FROM pts WHERE ord % 5 <> 4 GROUP BY structure_id")
+def heavy_atom_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return at.without_hydrogens(_atoms(spark, sf_dir)).groupBy("structure_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {POINTS_SQL}, e AS (SELECT *, substr('NOSCH', ord % 5 + 1, 1) AS e FROM pts) SELECT a.structure_id::VARCHAR AS structure_id, a.ord::BIGINT AS donor, b.ord::BIGINT AS acceptor, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)), 6) AS dist FROM e a JOIN e b ON a.structure_id = b.structure_id AND a.ord <> b.ord AND a.ord // 3 <> b.ord // 3 AND a.e IN ('N', 'O') AND b.e IN ('O', 'S') WHERE sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) < 3.5")
+def geometric_hbonds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = points.geometric_hbonds(_atoms(spark, sf_dir))
+    return out.select("structure_id", F.col("donor").cast("bigint").alias("donor"), F.col("acceptor").cast("bigint").alias("acceptor"), F.round("dist", 6).alias("dist"))
+
+
+_WHOLE = f"{POINTS_SQL}, rs AS (SELECT structure_id, ord // 5 AS r, " + ", ".join(f"max(CASE WHEN ord % 5 = {k} THEN {c} END) AS {n}{c}" for k, n in enumerate(("n", "ca", "c", "o", "cb")) for c in "xyz") + " FROM pts WHERE ord < 20 GROUP BY ALL)"
+
+
+def _whole_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as four residues of five atoms; every second is a glycine, and every third vector's second residue a proline."""
+    p = ad.vector_points(spark, sf_dir).where("ord < 20").withColumn("r", F.floor(F.col("ord") / 5).cast("int"))
+    cells = [F.max(F.when(F.col("ord") % 5 == k, F.col(c))).alias(f"{n}{c}") for k, n in enumerate(("n", "ca", "c", "o", "cb")) for c in "xyz"]
+    name = F.when((F.col("structure_id") % 3 == 0) & (F.col("ord") == 1), "PRO").when(F.col("ord") % 2 == 0, "GLY").otherwise("ALA")
+    return p.groupBy("structure_id", F.col("r").alias("ord")).agg(*cells).withColumns({"chain_id": F.lit("A"), "residue_name": name, "residue_serial": F.col("ord") + 1})
+
+
+@query(f"WITH {_WHOLE} SELECT structure_id, r::BIGINT AS ord, " + ", ".join(f"round(CASE WHEN r % 2 = 0 THEN ca{c} ELSE cb{c} END, 6) AS beta_{c}" for c in "xyz") + ", 1.0::DOUBLE AS beta_mask FROM rs")
+def pseudo_beta_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _whole_residues(spark, sf_dir).withColumn("residue_name", F.when(F.col("ord") % 2 == 0, "GLY").otherwise("ALA"))
+    return at.pseudo_beta(r).select("structure_id", F.col("ord").cast("bigint").alias("ord"), *[F.round(f"beta_{c}", 6).alias(f"beta_{c}") for c in "xyz"], "beta_mask")
+
+
+@query(f"""WITH {_WHOLE}, l AS (SELECT *, {', '.join(f'n{c} - lag(c{c}) OVER (PARTITION BY structure_id ORDER BY r) AS p{c}, n{c} - ca{c} AS m{c}' for c in 'xyz')} FROM rs),
+u AS (SELECT *, sqrt(px*px+py*py+pz*pz) AS la, sqrt(mx*mx+my*my+mz*mz) AS lb FROM l), v AS (SELECT *, {', '.join(f'p{c}/la + m{c}/lb AS s{c}' for c in 'xyz')} FROM u), w AS (SELECT *, sqrt(sx*sx+sy*sy+sz*sz) AS ls FROM v)
+SELECT structure_id, r::BIGINT AS ord, {', '.join(f"round(CASE WHEN structure_id % 3 = 0 AND r = 1 THEN NULL ELSE n{c} + 1.01 * s{c} / ls END, 6) AS h{c}" for c in 'xyz')} FROM w""")
+def amide_hydrogen_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chains.amide_hydrogens(_whole_residues(spark, sf_dir))
+    return out.select("structure_id", F.col("ord").cast("bigint").alias("ord"), *[F.round(f"h{c}", 6).alias(f"h{c}") for c in "xyz"])
+
+
+@query(f"WITH {QUERIES_SQL}, w AS (SELECT seq_id, unnest(range(0, length(seq) - 3)) AS pos, seq FROM q WHERE length(seq) >= 4) SELECT seq_id, pos::INTEGER AS pos, (" + " + ".join(f"(instr('{_LETTERS}', substr(seq, pos::INTEGER + {i + 1}, 1)) - 1) * {21**i}" for i in range(4)) + ")::BIGINT AS hash FROM w WHERE NOT contains(substr(seq, pos::INTEGER + 1, 4), 'X')")
+def hashed_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.hashed_positions(ad.query_sequences(spark, sf_dir), 4, _LETTERS)
+
+
+@query(f"WITH {_SHORT}, k AS (SELECT DISTINCT substr(q, 1, 2) AS kmer FROM n WHERE length(q) >= 2), l AS (SELECT unnest(string_split('ACDEX', '')) AS b) SELECT kmer, x.b || y.b AS similar, (CASE WHEN substr(kmer, 1, 1) = x.b THEN 5 ELSE -1 END + CASE WHEN substr(kmer, 2, 1) = y.b THEN 5 ELSE -1 END)::BIGINT AS score FROM k, l x, l y WHERE (CASE WHEN substr(kmer, 1, 1) = x.b THEN 5 ELSE -1 END + CASE WHEN substr(kmer, 2, 1) = y.b THEN 5 ELSE -1 END) >= 4")
+def similar_kmer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two letters of nations' names, against strings of five letters."""
+    seq = F.regexp_replace(F.upper("n_name"), f"[^{_LETTERS}]", "X")
+    k = table(spark, sf_dir, "nation").select(F.substring(seq, 1, 2).alias("kmer")).where("length(kmer) = 2").distinct()
+    scores = spark.createDataFrame([(a, b, 5 if a == b else -1) for a in _LETTERS for b in "ACDEX"], "a string, b string, score long")
+    return kmers.similar_kmers(k, scores, 2, 4).withColumn("score", F.col("score").cast("bigint"))
+
+
+@query("SELECT x.c AS class_a, y.c AS class_b, avg(abs(x.i - y.i)::DOUBLE) AS score FROM (SELECT i, i % 4 AS c FROM range(0, 21) t(i)) x, (SELECT i, i % 4 AS c FROM range(0, 21) t(i)) y GROUP BY x.c, y.c")
+def reduced_matrix_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = spark.createDataFrame([(a, b, float(abs(i - j))) for i, a in enumerate(_LETTERS) for j, b in enumerate(_LETTERS)], "a string, b string, score double")
+    classes = spark.createDataFrame([(a, i % 4) for i, a in enumerate(_LETTERS)], "letter string, class long")
+    return kmers.reduced_matrix(scores, classes)
