@@ -6,6 +6,7 @@ A topology lists bonds, angles, torsions and excluded or scaled pairs with their
 from __future__ import annotations
 
 import dataclasses
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,18 +32,47 @@ class Topology:
 
     def pairs(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Pairs within the cutoff with their factors for van der Waals and charges."""
-        i, j = np.triu_indices(len(x), 1)
-        near = np.square(x[i] - x[j]).sum(axis=1) < self.cutoff**2
-        i, j = i[near], j[near]
+        i, j = near_pairs(x, self.cutoff)
         vdw, coulomb = np.ones(len(i)), np.ones(len(i))
         if self.scaled:
-            code = {a * len(x) + b: f for (a, b), f in self.scaled.items()}
-            for k, c in enumerate((i * len(x) + j).tolist()):
-                if c in code:
-                    vdw[k], coulomb[k] = code[c]
+            (a, b), factors = np.array(list(self.scaled)).T, np.array(list(self.scaled.values()))
+            code = a * len(x) + b
+            order = np.argsort(code)
+            own = i * len(x) + j
+            at = np.minimum(np.searchsorted(code[order], own), len(code) - 1)
+            hit = code[order][at] == own
+            vdw[hit], coulomb[hit] = factors[order][at[hit]].T
         return i, j, vdw, coulomb
 
 
+def near_pairs(x: np.ndarray, cutoff: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j nearer than the cutoff, in order: each point is compared with those of its own and half of the neighbouring cells."""
+    if len(x) < 2:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    cell = np.floor((x - x.min(axis=0)) / cutoff).astype(np.int64) + 1
+    width = cell.max(axis=0) + 2
+    key = (cell[:, 0] * width[1] + cell[:, 1]) * width[2] + cell[:, 2]
+    order = np.argsort(key, kind="stable")
+    keys = key[order]
+    found = []
+    for dx, dy, dz in itertools.product((-1, 0, 1), repeat=3):
+        step = (dx * width[1] + dy) * width[2] + dz
+        if step < 0:
+            continue
+        low, high = np.searchsorted(keys, key + step, "left"), np.searchsorted(keys, key + step, "right")
+        n = high - low
+        first = np.repeat(np.arange(len(x)), n)
+        other = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+        if step == 0:
+            first, other = first[first < other], other[first < other]
+        near = np.square(x[first] - x[other]).sum(axis=1) < cutoff**2
+        found.append((first[near], other[near]))
+    a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+    i, j = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((j, i))
+    return i[order], j[order]
+
+
 def _cols(table: np.ndarray, n: int) -> tuple:
     table = np.asarray(table, float).reshape(-1, n + 2 if n < 4 else n + 3)
     return (*[table[:, k].astype(int) for k in range(n)], *[table[:, k] for k in range(n, table.shape[1])])

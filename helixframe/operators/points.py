@@ -25,9 +25,9 @@ def _sides(a: DataFrame, b: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return left, right
 
 
-def distances(points: DataFrame, key: str = "structure_id") -> DataFrame:
-    """Every ordered pair of points of a structure with its distance."""
-    a, b = _sides(points, points, key)
+def distances(points: DataFrame, key: str = "structure_id", others: DataFrame | None = None) -> DataFrame:
+    """Every ordered pair of points of a structure (of points and others) with its distance."""
+    a, b = _sides(points, points if others is None else others, key)
     return a.join(b, key).withColumn("dist", g.distance(g.vector(suffix="_a"), g.vector(suffix="_b")))
 
 
@@ -58,11 +58,19 @@ def interface(points: DataFrame, cutoff: float, key: str = "structure_id", chain
     return pairs.select(key, F.col(f"{chain}_a").alias(chain), F.col("ord_a").alias("ord")).distinct()
 
 
-def nearest(points: DataFrame, key: str = "structure_id") -> DataFrame:
-    """The nearest other point of each; of equally near ones the first."""
-    pairs = distances(points, key).where("ord_a <> ord_b")
+def nearest(points: DataFrame, key: str = "structure_id", reach: float = 8.0) -> DataFrame:
+    """The nearest other point of each; of equally near ones the first.
+
+    A point with another one within reach has its nearest there; only points that have none are compared with all of their structure.
+    """
     best = F.min(F.struct("dist", "ord_b")).alias("m")
-    return pairs.groupBy(key, "ord_a").agg(best).select(key, F.col("ord_a").alias("ord"), F.col("m.ord_b").alias("partner"), F.col("m.dist").alias("dist"))
+
+    def least(pairs: DataFrame) -> DataFrame:
+        return pairs.where("ord_a <> ord_b").groupBy(key, "ord_a").agg(best).select(key, F.col("ord_a").alias("ord"), F.col("m.ord_b").alias("partner"), F.col("m.dist").alias("dist"))
+
+    near = least(within(points, points, reach, key))
+    alone = points.join(near.select(key, "ord"), [key, "ord"], "left_anti")
+    return near.unionByName(least(distances(alone, key, points)))
 
 
 def hbonds(residues: DataFrame, cutoff: float = -0.5, reach: float = 5.2) -> DataFrame:

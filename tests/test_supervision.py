@@ -63,3 +63,14 @@ def test_forces():
         assert low["total"] < e["total"] and (ok or method == "sd")
     frames = list(physics.dynamics(got, top, 200, dt=0.0005, temperature=100, every=50))
     assert len(frames) == 5 and abs(frames[-1]["total"] - frames[0]["total"]) < 0.05 * abs(frames[0]["kinetic"]) + 0.05
+
+
+def test_near_pairs_equal_all_pairs():
+    r = np.random.default_rng(4)
+    for spread in (3, 10, 30):
+        for n in (0, 1, 2, 150):
+            x = r.normal(0, spread, (n, 3))
+            i, j = np.triu_indices(n, 1)
+            near = np.square(x[i] - x[j]).sum(axis=1) < 25
+            a, b = physics.near_pairs(x, 5.0)
+            assert (a == i[near]).all() and (b == j[near]).all()
