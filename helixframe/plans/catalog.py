@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import atoms as at
-from ..operators import chains, engine, failures, kernels, kmers, points, releases, selection
+from ..operators import chains, engine, failures, kernels, kmers, points, releases, selection, topology
 from ..sources import sinks, structures
 from ..streaming import ingest
 from . import adapters as ad
@@ -675,3 +675,54 @@ def reduced_matrix_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = spark.createDataFrame([(a, b, float(abs(i - j))) for i, a in enumerate(_LETTERS) for j, b in enumerate(_LETTERS)], "a string, b string, score double")
     classes = spark.createDataFrame([(a, i % 4) for i, a in enumerate(_LETTERS)], "letter string, class long")
     return kmers.reduced_matrix(scores, classes)
+
+
+# Topology
+
+_BONDED = f"""{POINTS_SQL}, e AS (SELECT *, substr('NOSCH', ord % 5 + 1, 1) AS e, 1.5 + (ord % 3) * 0.1 AS rad, 0.05 + (ord % 2) * 0.05 AS dep, CASE WHEN ord % 2 = 0 THEN 0.25::DOUBLE ELSE -0.25::DOUBLE END AS chg FROM pts),
+pr AS (SELECT a.structure_id, a.ord AS i, b.ord AS j, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS d, CASE WHEN a.e = 'H' OR b.e = 'H' THEN 1.3 WHEN a.e = 'S' OR b.e = 'S' THEN 2.2 ELSE 1.9 END AS most,
+  a.rad + b.rad AS rad, sqrt((a.dep * b.dep)::DOUBLE) AS dep, a.chg * b.chg AS chg FROM e a JOIN e b ON a.structure_id = b.structure_id AND a.ord < b.ord),
+bo AS (SELECT structure_id, i, j FROM pr WHERE d < most AND d > 0.4), en AS (SELECT structure_id, i AS a, j AS b FROM bo UNION ALL SELECT structure_id, j, i FROM bo)"""
+_ANGLES = f"{_BONDED}, an AS (SELECT x.structure_id, x.b AS i, x.a AS j, y.b AS k FROM en x JOIN en y ON x.structure_id = y.structure_id AND x.a = y.a AND x.b < y.b)"
+_TORSIONS = f"{_ANGLES}, tr AS (SELECT m.structure_id, x.b AS i, m.i AS j, m.j AS k, y.b AS l FROM bo m JOIN en x ON x.structure_id = m.structure_id AND x.a = m.i AND x.b <> m.j JOIN en y ON y.structure_id = m.structure_id AND y.a = m.j AND y.b <> m.i AND y.b <> x.b)"
+_APART = f"{_TORSIONS}, ap AS (SELECT structure_id, i, j, min(n) AS apart FROM (SELECT structure_id, i, j, 1 AS n FROM bo UNION ALL SELECT structure_id, i, k, 2 FROM an UNION ALL SELECT structure_id, least(i, l), greatest(i, l), 3 FROM tr) GROUP BY ALL)"
+
+
+def _bonded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = ad.vector_points(spark, sf_dir).withColumn("element", F.element_at(F.array(*[F.lit(e) for e in "NOSCH"]), (F.col("ord") % 5 + 1).cast("int")))
+    return a.withColumns({"radius": 1.5 + (F.col("ord") % 3) * 0.1, "depth": 0.05 + (F.col("ord") % 2) * 0.05, "charge": F.when(F.col("ord") % 2 == 0, 0.25).otherwise(-0.25)})
+
+
+@query(f"WITH {_BONDED} SELECT structure_id, i, j FROM bo")
+def bonds_by_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.bonds(_bonded(spark, sf_dir), inside=None)
+
+
+@query(f"WITH {_ANGLES} SELECT structure_id, i, j, k FROM an")
+def bond_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.angles(topology.bonds(_bonded(spark, sf_dir), inside=None))
+
+
+@query(f"WITH {_TORSIONS} SELECT structure_id, i, j, k, l FROM tr")
+def bond_torsions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.torsions(topology.bonds(_bonded(spark, sf_dir), inside=None))
+
+
+@query(f"WITH {_APART} SELECT structure_id, i, j, apart FROM ap")
+def bound_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.bound_pairs(topology.bonds(_bonded(spark, sf_dir), inside=None))
+
+
+@query(f"""WITH {_APART}, nb AS (SELECT pr.*, apart, pow(rad / d, 6) AS q FROM pr LEFT JOIN ap ON ap.structure_id = pr.structure_id AND ap.i = pr.i AND ap.j = pr.j WHERE d < 6.0 AND d > 0.4 AND (apart IS NULL OR apart = 3))
+SELECT structure_id, round(sum(CASE WHEN apart = 3 THEN 0.5 ELSE 1.0 END * dep * (q * q - 2 * q)), 3) AS vdw, round(sum(CASE WHEN apart = 3 THEN 1.0 / 1.2::DOUBLE ELSE 1.0 END * 332.0637 * chg / d), 4) AS electrostatic, count(*) AS n_pairs FROM nb GROUP BY structure_id""")
+def pair_energies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _bonded(spark, sf_dir)
+    out = topology.pair_energies(a, topology.bound_pairs(topology.bonds(a, inside=None)), 6.0, least=0.4)
+    return out.select("structure_id", F.round("vdw", 3).alias("vdw"), F.round("electrostatic", 4).alias("electrostatic"), "n_pairs")
+
+
+@query()
+def tm_align_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector and the next of its label as chains, aligned by structure."""
+    a, b = vector_pairs(spark, sf_dir)
+    return kernels.align_structures(a, b).select("pair_id", F.round("tm", 6).alias("tm"), "n_aligned", F.round("rmsd", 6).alias("rmsd"))
