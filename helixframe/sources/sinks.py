@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import kmers
+from ..operators import kmers, releases
 
 
 def write_table(df: DataFrame, path: str, by: list[str] | None = None) -> None:
@@ -43,6 +43,41 @@ def write_release(df: DataFrame, path: str, release_id: str, split: str | None =
     return manifest
 
 
+def write_examples(examples: DataFrame, failures: DataFrame | None, path: str, release_id: str) -> dict:
+    """Examples (with a column length) as Parquet, failures as JSON lines, and a manifest with counts, lengths and checksums; gives the manifest."""
+    spark = examples.sparkSession
+    manifest = write_release(examples, path, release_id)
+    broken = 0
+    if failures is not None:
+        failures.write.json(f"{path}/failures")
+        broken = spark.read.schema(failures.schema).json(f"{path}/failures").count()
+    back = spark.read.schema(examples.schema).parquet(f"{path}/data")
+    manifest |= {"count_examples": manifest.pop("count"), "count_failures": broken, "lengths": releases.length_summary(back, "length").first().asDict()}
+    return manifest
+
+
+def build_corpus(spark: SparkSession, path: str, release_id: str, sequences: DataFrame, structures: DataFrame, ratios: dict[str, float], failures: DataFrame | None = None) -> tuple[dict, DataFrame]:
+    """A whole corpus release below path: sequence, structure and training releases, a manifest over them, and what the checks find.
+
+    sequences, structures: (record_id, source_id, length, ...), structures with their masks where these are to be checked; failures: (failure_class, ...).
+    Splits go by the hash of source_id, so that the chains of one source stay together. Each layer is read back from its files by the next.
+    """
+    read = lambda df, name: spark.read.schema(df.schema).parquet(f"{path}/{name}/data")
+    write_examples(sequences, failures, f"{path}/sequence", f"{release_id}-sequence")
+    write_examples(structures, None, f"{path}/structure", f"{release_id}-structure")
+    sequences, structures = read(sequences, "sequence"), read(structures, "structure")
+    splits = sequences.select("record_id", releases.hash_split(F.col("source_id"), ratios).alias("split"), F.lit(1.0).alias("weight"), F.lit(None).cast("int").alias("crop_start"), F.lit(None).cast("int").alias("crop_stop"))
+    training = releases.training_join(sequences, structures, splits)
+    write_release(training, f"{path}/training", f"{release_id}-training")
+    training = read(training, "training")
+    manifest = releases.corpus_manifest(release_id, sequences, structures, training, [failures] if failures is not None else None)
+    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/corpus/manifest")
+    checked = {"seq_mask", "pseudo_beta_mask", "rigidgroups_exists", "chi_mask"} <= set(structures.columns)
+    issues = releases.validate(training, manifest, structures if checked else "unchecked")
+    issues.coalesce(1).write.json(f"{path}/corpus/issues")
+    return manifest, issues
+
+
 def _checksums(spark: SparkSession, path: str) -> dict[str, str]:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
     return {r.name: r.sum for r in files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sum")).collect()}

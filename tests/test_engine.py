@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.operators import engine, releases
-from helixframe.sources import sequences, structures
+from helixframe.sources import sequences, sinks, structures
 
 
 def test_reduced_alphabet():
@@ -100,3 +100,17 @@ def test_release_checks(spark):
     }
     got = releases.corpus_manifest("r1", sequences=spark.createDataFrame([(3,), (5,)], "length int"), training=training, failures=[spark.createDataFrame([("x",), ("x",), ("y",)], "failure_class string")])
     assert got["split_counts"] == {"test": 1, "train": 2} and got["failure_breakdown"] == {"x": 2, "y": 1} and got["sequence_lengths"]["mean_length"] == 4.0 and got["count_prepared"] == 0
+
+
+def test_whole_corpus(spark, tmp_path):
+    masks = "seq_mask array<double>, pseudo_beta_mask array<double>, rigidgroups_exists array<array<double>>, chi_mask array<array<double>>"
+    seqs = spark.createDataFrame([(f"r{i}", f"s{i // 2}", 10 + i, "ACD") for i in range(12)], "record_id string, source_id string, length int, sequence string")
+    structs = spark.createDataFrame([(f"r{i}", f"s{i // 2}", 10 + i, [1.0], [1.0], [[1.0] * 8], [[1.0] * 4]) for i in range(2, 12)], f"record_id string, source_id string, length int, {masks}")
+    broken = spark.createDataFrame([("r90", "parse_error"), ("r91", "parse_error"), ("r92", "numerical_instability")], "record_id string, failure_class string")
+    manifest, issues = sinks.build_corpus(spark, str(tmp_path / "c"), "one", seqs, structs, {"train": 0.8, "val": 0.2}, broken)
+    assert (manifest["count_sequence_examples"], manifest["count_structure_examples"], manifest["count_training_examples"]) == (12, 10, 10)
+    assert manifest["failure_breakdown"] == {"numerical_instability": 1, "parse_error": 2} and sum(manifest["split_counts"].values()) == 10
+    assert manifest["sequence_lengths"]["max_length"] == 21.0 and issues.count() == 0
+    rows = sinks.read_release(spark, f"{tmp_path}/c/training").collect()
+    assert len({(r.source_id, r.split) for r in rows}) == len({r.source_id for r in rows})
+    assert spark.read.json(f"{tmp_path}/c/sequence/failures").count() == 3
