@@ -5,8 +5,9 @@ remainder; from the pool of remainders the longest is taken and a bitset subset-
 of each count) finds the multiset that fills the window closest to its capacity; backtracking gives the counts. Slack that is left is
 filled by cutting one remainder. What remains at the end of a task is cut at powers of two, which need no padding.
 
-Defined cases: a null or empty text is the end id alone; null and repeated doc_ids are packed like any other; an empty table
-gives no piece; other columns are not read.
+Defined cases: a null or empty text is the end id alone; null and repeated doc_ids are packed like any other; texts are packed whole,
+whatever their length; of multisets that fill a window alike the one with the longer lengths is taken, and of equally long remainders
+the one read last; an empty table gives no piece; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

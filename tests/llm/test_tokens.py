@@ -150,6 +150,25 @@ def test_packing(spark):
     assert packing.pack(docs.limit(0), P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_packing_of_null_and_repeated_ids(spark):
+    texts = [(None, "a b"), (None, None), (5, "same words here"), (5, "same words here"), (5, "other"), (6, "long " * 5000)]
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    want = {}
+    for i, t in texts:
+        want[i] = want.get(i, 0) + len(tok.encode(t or "", add_special_tokens=False).ids) + 1
+    rows = packing.pack(spark.createDataFrame([(i, t, 0, "x") for i, t in texts], "doc_id long, text string, offset long, START string").coalesce(1), P.path("word_bpe_49k.json")).collect()
+    got, seqs = {}, {}
+    for r in rows:
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert got == want
+    for s in seqs.values():
+        at = 0
+        for offset, n in sorted(s):
+            assert offset == at
+            at += n
+
+
 def test_crc_join():
     r = random.Random(6)
     for _ in range(50):
