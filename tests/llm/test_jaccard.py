@@ -53,9 +53,10 @@ def test_near_copies_go(spark, hot, listed, monkeypatch):
             texts.append(" ".join(near) + r.choice(["", " " + line]))
     label, wide = components_of(texts)
     assert wide > 20
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    kept = sorted(x.doc_id for x in simhash.deduplicate(df, words=5).collect())
-    assert kept == sorted(set(label))
+    df = spark.createDataFrame([(i, t, i, f"d{i}", -i) for i, t in enumerate(texts)], "doc_id long, text string, row long, Doc string, none long").repartition(3)
+    rows = simhash.deduplicate(df, words=5).collect()
+    assert sorted(x.doc_id for x in rows) == sorted(set(label))
+    assert all((x.row, x.Doc, x.none) == (x.doc_id, f"d{x.doc_id}", -x.doc_id) for x in rows)
     assert simhash.deduplicate(df.limit(0), words=5).count() == 0
 
 

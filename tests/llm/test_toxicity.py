@@ -36,6 +36,7 @@ def test_held_out_accuracy(spark):
     assert len(held) > 100 and sum(got[i].predicted == want[i] for i in held) / len(held) > 0.97
     kept = toxicity.clean(docs, model)
     assert kept.columns == docs.columns and kept.count() == sum(1 - r.predicted for r in got.values())
+    assert kept.where("score <> text").count() == 0
 
 
 def test_features_are_strings_of_characters():
