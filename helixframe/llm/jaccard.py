@@ -183,15 +183,16 @@ def close_pairs(n: np.ndarray, root: np.ndarray, sketches: list[bytes], side: np
 
 
 def _blocks(least: tuple[int, int]):
-    """Rows sorted by shingle and pair of blocks -> close pairs of each, in order of their ids."""
+    """Rows sorted by shingle and pair of blocks -> close pairs of each, in order of their ids, that share no hot shingle before this one."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        _, low, high, sid, n, root, x, block = zip(*rows, strict=True)
+        token, low, _, sid, n, root, x, block, mine = zip(*rows, strict=True)
         ids = np.array(sid, np.int64)
         i, j = close_pairs(np.array(n, np.int64), np.array(root, np.int64), list(x), np.array(block) != low[0], least)
-        a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-        keep = a != b
-        return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+        before = {k: set(mine[k][: mine[k].index(token[0])]) for k in {*i.tolist(), *j.tolist()}}
+        first = [(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if sid[a] != sid[b] and before[a].isdisjoint(before[b])]
+        a, b = (ids[[p[k] for p in first]] for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -208,11 +209,15 @@ def _blocks(least: tuple[int, int]):
 
 
 def _hot_pairs(open_: DataFrame, heads: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """Close pairs (a, b) among the sets of each hot shingle: its sets in blocks of about BLOCK_SETS, each pair of blocks a unit of work."""
-    parts = F.ceil(F.col("many") / BLOCK_SETS).cast("int")
-    rows = open_.where(F.col("many") > HOT).join(heads.select("sid", "x"), "sid").withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("with", F.explode(F.expr("sequence(0, parts - 1)")))
-    rows = rows.select("token", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "sid", "n", "root", "x", "block")
+    """Close pairs (a, b) among the sets of each hot shingle: its sets in blocks of about BLOCK_SETS, each pair of blocks a unit of work.
+
+    A pair that shares several hot shingles is emitted for the first: each row carries its set's hot shingles, of which a prefix has few.
+    """
+    hot = open_.where(F.col("many") > HOT)
+    mine = hot.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("mine")).select("sid", F.transform("mine", lambda x: x.token).alias("mine"))
+    rows = hot.join(mine, "sid").join(heads.select("sid", "x"), "sid").withColumn("parts", F.ceil(F.col("many") / BLOCK_SETS).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")).withColumn("with", F.explode(F.expr("sequence(0, parts - 1)")))
+    rows = rows.select("token", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "sid", "n", "root", "x", "block", "mine")
     return rows.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(_blocks(least), "a bigint, b bigint")
 
 
