@@ -16,8 +16,8 @@ import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Bounds of the two halves of each cache of a Python worker, in entries.
-MAX_WORDS, MAX_PIECES = 350_000, 350_000
+#: Bound of the two halves of each cache of a Python worker, in entries, by kind of tokenizer: the second one's words come in fewer forms.
+MOST = {"byte": 350_000, "word": 200_000}
 #: Longer keys are not kept.
 MAX_KEY = 200
 
@@ -81,9 +81,7 @@ class Encoder:
             self.find = regex.compile(PATTERN).findall
         else:
             self.find = regex.compile(_WORD_PATTERN).findall
-        self.pieces = Cache(self._piece, MAX_PIECES)
-        self.words = Cache(self._word, MAX_WORDS)
-        self.spaced = Cache(self._bare, MAX_WORDS)
+        self.pieces, self.words, self.spaced = (Cache(make, MOST[kind]) for make in (self._piece, self._word, self._bare))
         self.tokenize, self.space = self.model.tokenize, self.chars[32]
 
     def _pack(self, ids: list[int]) -> bytes:
