@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 
+#: Structures of so many points at most are not cut in cells.
+FEW = 256
+
 
 def centroid(points: DataFrame, by: str = "structure_id") -> DataFrame:
     return points.groupBy(by).agg(*[F.avg(c).alias(f"c{c}") for c in "xyz"], F.count("*").alias("n_points"))
@@ -31,17 +32,28 @@ def distances(points: DataFrame, key: str = "structure_id", others: DataFrame |
     return a.join(b, key).withColumn("dist", g.distance(g.vector(suffix="_a"), g.vector(suffix="_b")))
 
 
-def within(a: DataFrame, b: DataFrame, cutoff: float, key: str = "structure_id", strict: bool = False) -> DataFrame:
+def cells(a: DataFrame, b: DataFrame, cutoff: float, key: str = "structure_id", edge: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides of within() with their cells gx, gy, gz: a row of a for each cell it is looked for in, one of b for its own."""
+    left, right = _sides(a, b, key)
+    edge, reach = float(edge or cutoff), float(cutoff) * (1 + 1e-9)  # a rounded distance may be the cutoff where the true one is a little more
+    cell = lambda c: F.when(F.col("few"), F.lit(0).cast("bigint")).otherwise(F.floor(c / F.lit(edge)))
+    few = b.groupBy(key).agg((F.count("*") <= FEW).alias("few"))
+    left = left.join(few, key)
+    for n in "xyz":
+        left = left.withColumn(f"g{n}", F.explode(F.sequence(cell(F.col(f"{n}_a") - reach), cell(F.col(f"{n}_a") + reach))))
+    right = right.join(few, key).select(*right.columns, *[cell(F.col(f"{n}_b")).alias(f"g{n}") for n in "xyz"])
+    return left.drop("few"), right
+
+
+def within(a: DataFrame, b: DataFrame, cutoff: float, key: str = "structure_id", strict: bool = False, edge: float | None = None) -> DataFrame:
     """Pairs of points of the same structure at most (strict: less than) cutoff apart, with dist.
 
-    Space is cut in cells of the cutoff's size. Each point of a is looked for in its own and the 26 cells around it, so that pairs meet in an
-    equi-join on structure and cell, which Spark shuffles and splits as any other.
+    Space is cut in cells of the given edge (the cutoff, if not given). Each point of a is looked for in every cell that a cube of twice the cutoff
+    around it touches, so that pairs meet in an equi-join on structure and cell, which Spark shuffles and splits as any other. An edge of the
+    cutoff gives 27 copies of a point, one of twice the cutoff 8, but more pairs to compare where points lie close. A structure with at most
+    FEW points of b is one cell: to compare a point with them costs less than its copies.
     """
-    left, right = _sides(a, b, key)
-    cell = lambda c: F.floor(F.col(c) / F.lit(float(cutoff)))
-    around = F.explode(F.array(*[F.struct(*[F.lit(d).alias(n) for d, n in zip(step, ("dx", "dy", "dz"), strict=True)]) for step in itertools.product((-1, 0, 1), repeat=3)]))
-    left = left.withColumn("s", around).select(*left.columns, *[(cell(f"{c}_a") + F.col(f"s.d{c}")).alias(f"g{c}") for c in "xyz"])
-    right = right.select(*right.columns, *[cell(f"{c}_b").alias(f"g{c}") for c in "xyz"])
+    left, right = cells(a, b, cutoff, key, edge)
     dist = g.distance(g.vector(suffix="_a"), g.vector(suffix="_b"))
     pairs = left.join(right, [key, "gx", "gy", "gz"]).drop("gx", "gy", "gz").withColumn("dist", dist)
     return pairs.where(F.col("dist") < cutoff if strict else F.col("dist") <= cutoff)

@@ -19,7 +19,8 @@ def longest_bond(a: Column, b: Column) -> Column:
 def bonds(atoms: DataFrame, inside: str | None = "residue_ord") -> DataFrame:
     """(structure_id, i, j), i < j: atoms near enough for their elements; inside: only of one residue, None for all."""
     cols = ["structure_id", "ord", "element", "x", "y", "z", *([inside] if inside else [])]
-    pairs = within(atoms.select(*cols), atoms.select(*cols), max(HYDROGEN, SULFUR, OTHER)).where("ord_a < ord_b")
+    most = max(HYDROGEN, SULFUR, OTHER)
+    pairs = within(atoms.select(*cols), atoms.select(*cols), most, edge=2 * most).where("ord_a < ord_b")
     if inside:
         pairs = pairs.where(F.col(f"{inside}_a") == F.col(f"{inside}_b"))
     near = (F.col("dist") < longest_bond(F.col("element_a"), F.col("element_b"))) & (F.col("dist") > LEAST)

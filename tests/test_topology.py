@@ -1,8 +1,11 @@
 """Bonds, angles and torsions of a small chain by hand."""
 
+import math
+import random
+
 from pyspark.sql import functions as F
 
-from helixframe.operators import kernels, topology
+from helixframe.operators import kernels, points, topology
 
 
 def test_chain_of_four(spark):
@@ -25,3 +28,17 @@ def test_structures_in_pairs(spark):
     turned = a.select("pair_id", "ord", F.col("y").alias("x"), (F.col("z") + 5).alias("y"), (F.col("x") - 1).alias("z"))
     got = kernels.align_structures(a, turned).collect()
     assert sorted(r.pair_id for r in got) == [1, 2] and all(r.n_aligned == 12 and r.tm > 0.999 and r.rmsd < 1e-6 for r in got)
+
+
+def test_pairs_of_small_and_large_structures(spark, monkeypatch):
+    """Small structures are not copied into cells; both ways give every pair, also at cell borders and without a place."""
+    r = random.Random(5)
+    places = [[r.choice((r.uniform(-9, 9), float(r.randint(-9, 9)))) for _ in "xyz"] for _ in range(300)]
+    rows = [(k, i, *p) for k, n in ((1, 300), (2, 20), (2, 20)) for i, p in enumerate(places[:n])] + [(2, 50, None, 0.0, 0.0), (2, 51, float("nan"), 0.0, 0.0)]
+    a = spark.createDataFrame(rows, "structure_id int, ord int, x double, y double, z double")
+    want = sorted((p[0], p[1], q[1]) for p in rows for q in rows if p[0] == q[0] and None not in p + q and math.dist(p[2:], q[2:]) <= 3)
+    for few, edge in ((256, None), (0, None), (0, 6.0), (10**6, None)):
+        monkeypatch.setattr(points, "FEW", few)
+        assert sorted(map(tuple, points.within(a, a, 3.0, edge=edge).select("structure_id", "ord_a", "ord_b").collect())) == want
+    monkeypatch.setattr(points, "FEW", 256)
+    assert points.cells(a.where("structure_id = 2"), a, 3.0)[0].count() == 42 and points.cells(a.where("structure_id = 1"), a, 3.0)[0].count() > 300 * 20
