@@ -32,11 +32,16 @@ def _ends(bond: DataFrame) -> DataFrame:
     return bond.select("structure_id", F.col("i").alias("at"), F.col("j").alias("to")).unionByName(bond.select("structure_id", F.col("j").alias("at"), F.col("i").alias("to")))
 
 
+def _lists(bond: DataFrame) -> DataFrame:
+    """(structure_id, at, to): each atom with the list of those it is bonded to, from one pass over the bonds."""
+    both = F.explode(F.array(F.struct(F.col("i").alias("at"), F.col("j").alias("to")), F.struct(F.col("j").alias("at"), F.col("i").alias("to"))))
+    return bond.select("structure_id", both.alias("e")).groupBy("structure_id", F.col("e.at").alias("at")).agg(F.collect_list("e.to").alias("to"))
+
+
 def angles(bond: DataFrame) -> DataFrame:
     """(structure_id, i, j, k): two bonds of atom j, i < k."""
-    e = _ends(bond)
-    other = e.withColumnRenamed("to", "k")
-    return e.withColumnRenamed("to", "i").join(other, ["structure_id", "at"]).where("i < k").select("structure_id", "i", F.col("at").alias("j"), "k")
+    first = _lists(bond).select("structure_id", F.col("at").alias("j"), "to", F.explode("to").alias("i"))
+    return first.select("structure_id", "i", "j", F.explode("to").alias("k")).where("i < k")
 
 
 def torsions(bond: DataFrame) -> DataFrame:

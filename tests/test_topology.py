@@ -42,3 +42,19 @@ def test_pairs_of_small_and_large_structures(spark, monkeypatch):
         assert sorted(map(tuple, points.within(a, a, 3.0, edge=edge).select("structure_id", "ord_a", "ord_b").collect())) == want
     monkeypatch.setattr(points, "FEW", 256)
     assert points.cells(a.where("structure_id = 2"), a, 3.0)[0].count() == 42 and points.cells(a.where("structure_id = 1"), a, 3.0)[0].count() > 300 * 20
+
+
+def _bonds_of_ring(spark):
+    rows = [("m", i, (i + 1) % 6) for i in range(6)] + [("m", 0, 6), ("m", 0, 6), ("n", 0, 1)]  # one bond is given twice
+    return spark.createDataFrame([(s, min(i, j), max(i, j)) for s, i, j in rows], "structure_id string, i int, j int")
+
+
+def _joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join")
+
+
+def test_angles_take_one_pass_over_the_bonds(spark):
+    bond = _bonds_of_ring(spark)
+    ends = [(r.structure_id, a, b) for r in bond.collect() for a, b in ((r.i, r.j), (r.j, r.i))]
+    want = sorted((s, i, j, k) for s, j, i in ends for u, at, k in ends if (s, j) == (u, at) and i < k)
+    assert sorted(map(tuple, topology.angles(bond).collect())) == want and _joins(topology.angles(bond)) == 0
