@@ -27,17 +27,20 @@ def bonds(atoms: DataFrame, inside: str | None = "residue_ord") -> DataFrame:
     return pairs.where(near).select("structure_id", F.col("ord_a").alias("i"), F.col("ord_b").alias("j"))
 
 
-def _ends(bond: DataFrame) -> DataFrame:
-    """Each bond from both sides: (structure_id, at, to)."""
-    return bond.select("structure_id", F.col("i").alias("at"), F.col("j").alias("to")).unionByName(bond.select("structure_id", F.col("j").alias("at"), F.col("i").alias("to")))
-
-
 def _lists(bond: DataFrame) -> DataFrame:
     """(structure_id, at, to): each atom with the list of those it is bonded to, from one pass over the bonds."""
     both = F.explode(F.array(F.struct(F.col("i").alias("at"), F.col("j").alias("to")), F.struct(F.col("j").alias("at"), F.col("i").alias("to"))))
     return bond.select("structure_id", both.alias("e")).groupBy("structure_id", F.col("e.at").alias("at")).agg(F.collect_list("e.to").alias("to"))
 
 
+def _middles(bond: DataFrame) -> DataFrame:
+    """(structure_id, j, k, of_j, of_k, times): each bond, j < k, with the lists of both its atoms; a bond that is given many times is one row."""
+    lists = _lists(bond).select("structure_id", "at", "to", F.explode("to").alias("other"))
+    low = F.col("at") < F.col("other")
+    ends = [F.max(F.when(low, F.col("to"))).alias("of_j"), F.max(F.when(~low, F.col("to"))).alias("of_k"), F.count_if(low).alias("times")]
+    return lists.groupBy("structure_id", F.least("at", "other").alias("j"), F.greatest("at", "other").alias("k")).agg(*ends)
+
+
 def angles(bond: DataFrame) -> DataFrame:
     """(structure_id, i, j, k): two bonds of atom j, i < k."""
     first = _lists(bond).select("structure_id", F.col("at").alias("j"), "to", F.explode("to").alias("i"))
@@ -46,11 +49,9 @@ def angles(bond: DataFrame) -> DataFrame:
 
 def torsions(bond: DataFrame) -> DataFrame:
     """(structure_id, i, j, k, l): a bond j-k, j < k, with a further bond of each, to different atoms."""
-    e = _ends(bond)
-    first = e.select("structure_id", F.col("at").alias("j"), F.col("to").alias("i"))
-    last = e.select("structure_id", F.col("at").alias("k"), F.col("to").alias("l"))
-    middle = bond.select("structure_id", F.col("i").alias("j"), F.col("j").alias("k"))
-    return middle.join(first, ["structure_id", "j"]).where("i <> k").join(last, ["structure_id", "k"]).where("l <> j and i <> l").select("structure_id", "i", "j", "k", "l")
+    first = _middles(bond).select("structure_id", "j", "k", "of_k", "times", F.explode("of_j").alias("i")).where("i <> k")
+    last = first.select("structure_id", "i", "j", "k", "times", F.explode("of_k").alias("l")).where("l <> j and i <> l")
+    return last.select("structure_id", "i", "j", "k", "l", F.explode(F.sequence(F.lit(1).cast("bigint"), "times"))).drop("col")
 
 
 def bound_pairs(bond: DataFrame) -> DataFrame:

@@ -58,3 +58,10 @@ def test_angles_take_one_pass_over_the_bonds(spark):
     ends = [(r.structure_id, a, b) for r in bond.collect() for a, b in ((r.i, r.j), (r.j, r.i))]
     want = sorted((s, i, j, k) for s, j, i in ends for u, at, k in ends if (s, j) == (u, at) and i < k)
     assert sorted(map(tuple, topology.angles(bond).collect())) == want and _joins(topology.angles(bond)) == 0
+
+
+def test_torsions_take_one_pass_over_the_bonds(spark):
+    bond = _bonds_of_ring(spark)
+    ends = [(r.structure_id, a, b) for r in bond.collect() for a, b in ((r.i, r.j), (r.j, r.i))]
+    want = sorted((s, i, j, k, n) for s, j, k in map(tuple, bond.collect()) for u, at, i in ends if (u, at) == (s, j) and i != k for v, end, n in ends if (v, end) == (s, k) and n != j and n != i)
+    assert sorted(map(tuple, topology.torsions(bond).collect())) == want and _joins(topology.torsions(bond)) == 0
