@@ -56,10 +56,12 @@ def torsions(bond: DataFrame) -> DataFrame:
 
 def bound_pairs(bond: DataFrame) -> DataFrame:
     """(structure_id, i, j, apart), i < j: pairs one, two or three bonds apart, by the least."""
-    two = angles(bond).select("structure_id", F.col("i"), F.col("k").alias("j"), F.lit(2).alias("apart"))
-    three = torsions(bond).select("structure_id", F.least("i", "l").alias("i"), F.greatest("i", "l").alias("j"), F.lit(3).alias("apart"))
-    every = bond.select("structure_id", "i", "j", F.lit(1).alias("apart")).unionByName(two).unionByName(three)
-    return every.groupBy("structure_id", "i", "j").agg(F.min("apart").alias("apart"))
+    pair = lambda a, b, n: F.struct(F.least(a, b).alias("i"), F.greatest(a, b).alias("j"), F.lit(n).alias("apart"))
+    j, k = F.col("j"), F.col("k")
+    two = F.concat(F.transform("of_j", lambda x: pair(x, k, 2)), F.transform("of_k", lambda x: pair(j, x, 2)))
+    three = F.flatten(F.transform("of_j", lambda x: F.transform("of_k", lambda y: pair(x, y, 3))))
+    every = _middles(bond).withColumns({"of_j": F.array_distinct("of_j"), "of_k": F.array_distinct("of_k")}).select("structure_id", F.explode(F.concat(F.array(pair(j, k, 1)), two, three)).alias("p"))
+    return every.select("structure_id", "p.*").where("i < j").groupBy("structure_id", "i", "j").agg(F.min("apart").alias("apart"))
 
 
 def pair_energies(atoms: DataFrame, bound: DataFrame, cutoff: float = 12.0, vdw_of_three: float = 0.5, charge_of_three: float = 1 / 1.2, least: float = 0.0) -> DataFrame:

@@ -65,3 +65,11 @@ def test_torsions_take_one_pass_over_the_bonds(spark):
     ends = [(r.structure_id, a, b) for r in bond.collect() for a, b in ((r.i, r.j), (r.j, r.i))]
     want = sorted((s, i, j, k, n) for s, j, k in map(tuple, bond.collect()) for u, at, i in ends if (u, at) == (s, j) and i != k for v, end, n in ends if (v, end) == (s, k) and n != j and n != i)
     assert sorted(map(tuple, topology.torsions(bond).collect())) == want and _joins(topology.torsions(bond)) == 0
+
+
+def test_bound_pairs_take_one_pass_over_the_bonds(spark):
+    bond = _bonds_of_ring(spark)
+    found = {(r.structure_id, r.i, r.j): r.apart for r in topology.bound_pairs(bond).collect()}
+    want = {("n", 0, 1): 1} | {("m", i, j): min(j - i, 6 - j + i) for i in range(6) for j in range(i + 1, 6)}
+    want |= {("m", i, 6): n + 1 for i, n in ((0, 0), (1, 1), (5, 1), (2, 2), (4, 2))}
+    assert found == want and _joins(topology.bound_pairs(bond)) == 0
