@@ -70,8 +70,11 @@ def pair_energies(atoms: DataFrame, bound: DataFrame, cutoff: float = 12.0, vdw_
     Pairs at least or nearer don't count. atoms: structure_id, ord, x, y, z, radius (half the distance of least energy), depth, charge.
     """
     cols = ["structure_id", "ord", "x", "y", "z", "radius", "depth", "charge"]
-    pairs = within(atoms.select(*cols), atoms.select(*cols), cutoff, strict=True).where((F.col("ord_a") < F.col("ord_b")) & (F.col("dist") > least))
-    marked = pairs.join(bound.select("structure_id", F.col("i").alias("ord_a"), F.col("j").alias("ord_b"), "apart"), ["structure_id", "ord_a", "ord_b"], "left").where("apart is null or apart = 3")
+    # Each atom takes along which later ones it is bound to, so that no pair within the cutoff is shuffled.
+    known = bound.groupBy("structure_id", F.col("i").alias("ord")).agg(F.map_from_entries(F.collect_list(F.struct("j", "apart"))).alias("bound"))
+    left = atoms.select(*cols).join(known, ["structure_id", "ord"], "left")
+    pairs = within(left, atoms.select(*cols), cutoff, strict=True).where((F.col("ord_a") < F.col("ord_b")) & (F.col("dist") > least))
+    marked = pairs.withColumn("apart", F.try_element_at("bound_a", F.col("ord_b"))).where("apart is null or apart = 3")
     three = F.col("apart").isNotNull()
     ratio = F.pow((F.col("radius_a") + F.col("radius_b")) / F.col("dist"), 6)
     vdw = F.when(three, vdw_of_three).otherwise(1.0) * F.sqrt(F.col("depth_a") * F.col("depth_b")) * (ratio * ratio - 2 * ratio)

@@ -73,3 +73,18 @@ def test_bound_pairs_take_one_pass_over_the_bonds(spark):
     want = {("n", 0, 1): 1} | {("m", i, j): min(j - i, 6 - j + i) for i in range(6) for j in range(i + 1, 6)}
     want |= {("m", i, 6): n + 1 for i, n in ((0, 0), (1, 1), (5, 1), (2, 2), (4, 2))}
     assert found == want and _joins(topology.bound_pairs(bond)) == 0
+
+
+def test_energies_shuffle_no_pairs(spark):
+    """Bound pairs are known to the atoms before pairs are formed; nothing is joined to pairs."""
+    rows = [("m", i, 1.5 * i, 0.0, 0.0, 1.5, 0.1, 0.25) for i in range(5)]
+    atoms = spark.createDataFrame(rows, "structure_id string, ord int, x double, y double, z double, radius double, depth double, charge double")
+    bound = spark.createDataFrame([("m", 0, 1, 1), ("m", 0, 2, 2), ("m", 0, 3, 3)], "structure_id string, i int, j int, apart int")
+    out = topology.pair_energies(atoms, bound, 5.0)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Join Inner") < plan.index("Join LeftOuter")
+    (r,) = out.collect()
+    apart = [(4.5, 0.5, 1 / 1.2), *[(1.5, 1, 1)] * 3, *[(3.0, 1, 1)] * 2, (4.5, 1, 1)]
+    assert r.n_pairs == 7
+    assert abs(r.vdw - sum(f * 0.1 * ((3 / d) ** 12 - 2 * (3 / d) ** 6) for d, f, _ in apart)) < 1e-6
+    assert abs(r.electrostatic - sum(f * 332.0637 * 0.0625 / d for d, _, f in apart)) < 1e-9
