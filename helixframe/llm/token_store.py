@@ -12,6 +12,7 @@ an empty table gives an empty store; other columns are not read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -76,7 +77,7 @@ def cuts(ids: np.ndarray) -> list[int]:
 
 
 def _objects(path: str, end_id: int, kind: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seen, part, row = encoder(path, kind), set(), TaskContext.get().partitionId(), 0
         dtype, end = f"<u{enc.width}", end_id.to_bytes(enc.width, "little")
         names = ["kind", "key", "payload", "doc_id", "n_tokens", "root", "chunks"]
@@ -106,6 +107,16 @@ def _objects(path: str, end_id: int, kind: str):
         if out:
             yield pack(out)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Nothing here refers to itself, but each search for such garbage would go through all that the caches hold."""
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            yield from made(batches)
+        finally:
+            if on:
+                gc.enable()
+
     return run
 
 

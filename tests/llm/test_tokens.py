@@ -263,3 +263,30 @@ def test_bpe_query(spark):
     rows = bpe_tree.encode(documents(spark, texts), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, digests=True).collect()
     want = sorted((len(i := ref.encode_ordinary(t or "")), hashlib.sha256(" ".join(map(str, i)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for t in texts)
     assert sorted((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows) == want
+
+
+def test_encoding_does_not_search_its_caches_for_garbage(monkeypatch):
+    import gc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from helixframe.llm import token_store
+
+    monkeypatch.setattr(token_store, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    seen = []
+
+    def batches(n):
+        for k in range(n):
+            seen.append(gc.isenabled())
+            yield pa.RecordBatch.from_pydict({"doc_id": [k], "text": ["a text"] if k else [None]}, pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
+
+    path = P.path("byte_bpe_50k.json")
+    assert sum(len(b) for b in token_store._objects(path, 2, "byte")(batches(3))) == 5 and gc.isenabled()
+    assert seen == [False] * 3
+    gc.disable()
+    try:
+        list(token_store._objects(path, 2, "byte")(batches(1)))
+        assert not gc.isenabled()  # left as it was found
+    finally:
+        gc.enable()
