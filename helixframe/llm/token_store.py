@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import narrow, texts_of
+from .common import narrow
 from .tokens import encoder
 
 #: Ids of the rolling window, mean and bounds of chunk lengths in ids.
@@ -85,8 +85,8 @@ def _objects(path: str, end_id: int, kind: str):
         out, held = [], 0
         pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch, "text"), strict=True):
-                data = enc.encode(text) + end
+            for doc_id, data in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1)), strict=True):
+                data += end
                 ids, digests, at = np.frombuffer(data, dtype), [], 0
                 for to in cuts(ids):
                     chunk = data[at * enc.width : to * enc.width]
@@ -231,7 +231,7 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if any(p["n"] is None for p in parts):
                 raise ValueError("a chunk is missing")
             for p in parts:
-                crc = crc_join(crc, p["crc"], 4 * p["n"])
+                crc = crc_join(crc, p["crc"], 4 * p["n"]) if total else p["crc"]
                 total += p["n"]
             if total != n or len(parts) != want or merkle([p["key"] for p in parts]) != root:
                 raise ValueError("a recipe does not match its chunks")

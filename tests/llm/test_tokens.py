@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -35,6 +36,40 @@ def test_encoder_equals_library(name, kind):
         assert np.frombuffer(enc.encode(t), "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t[:60])
 
 
+def test_columns_of_texts_equal_library(monkeypatch):
+    """Whatever lies beside the spaces, line feeds and signs at which columns are cut, with groups and caches that end within the texts."""
+    from helixframe.llm import tokens
+
+    enc = Encoder(P.path("byte_bpe_50k.json"), "byte")
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    spaces = ["\n", "\n\n", "\n ", " \n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u2028", "  "]
+    signs = [",", ".\n", "'", "'s", "'s,", "&&&", ".é", "\u0301.", "\xad.", "1.", "ª,", "»,", "日,", "\x7f", "\x00."]
+    odd = [f"{a}x{s} {a}{s}É{a}yy{s}{a}" for a in ["", *spaces] for s in ["", *signs]]
+    r = random.Random(15)
+    mixed = ["".join(r.choice(["ab", "é", "日", "1", "\n", " ", *spaces, *signs]) for _ in range(r.randint(1, 30))) for _ in range(3000)]
+    texts = [*TEXTS, *odd, *random_texts(100, 16), *mixed, *TEXTS]
+    want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for together, most in ((tokens.TOGETHER, tokens.MOST["byte"]), (1000, 20)):
+        monkeypatch.setattr(tokens, "TOGETHER", together)
+        monkeypatch.setitem(tokens.MOST, "byte", most)
+        for of in (pa.array(texts, pa.string()), pa.array(["left out", *texts], pa.string())[1:]):
+            got = [np.frombuffer(x, "<u2").tolist() for x in enc.encode_all(of)]
+            assert [(t, g) for t, g in zip(texts, got, strict=True)] == list(zip(texts, want))
+        assert len(enc.parts) <= max(most, 20) or together > 1000
+    assert list(enc.encode_all(pa.array([], pa.string()))) == []
+    assert [*enc.encode_all(pa.array([None]).cast(pa.string()))] == [b""]
+
+
+def test_a_column_meets_each_word_once(monkeypatch):
+    """A word is looked up once in all texts that hold it, whether signs follow it or not."""
+    enc, seen = Encoder(P.path("byte_bpe_50k.json"), "byte"), []
+    tokenize = enc.tokenize
+    monkeypatch.setattr(enc, "tokenize", lambda x: seen.append(x) or tokenize(x))
+    list(enc.encode_all(pa.array(["a strangeword, strangeword. strangeword&&&\nB strangeword"] * 50)))
+    assert sum("strangeword" in x for x in seen) == 1
+
+
 def reference_codec():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
